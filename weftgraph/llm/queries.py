@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_main, langid, mixing, secret_scan, simhash, topk, vectors
+from . import bpe, html_main, langid, mixing, passages, secret_scan, simhash, suffix_dedup, topk, vectors
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.5, epochs=1.0, seed=17)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -30,6 +35,12 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.find(table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("passages", lambda x: F.concat_ws(":", x["a"].cast("string"), x["b"].cast("string"))), ",")
+    return found.select("doc_id", "n_passages", listed.alias("passages"), "n_words", "class_id")
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -58,8 +69,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_bpe": op3_bpe,
         "op4_topk": op4_topk,
+        "op5_passages": op5_passages,
         "op6_html": op6_html,
         "op7_secrets": op7_secrets,
         "op8_simhash": op8_simhash,

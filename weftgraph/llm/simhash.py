@@ -180,6 +180,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest key (of rows that share it, one)."""
-    kept = components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.dropDuplicates([key]).join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    """One document of each component: the one with the smallest key (of rows that share it, one).
+
+    Only keys are compared with the components; texts are shuffled once, by key.
+    """
+    found, _ = cut(components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
+    kept = found.select(F.col(key).alias("_kept"))
+    out = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    if found.where("_n > 1").isEmpty():
+        return out
+    return out.dropDuplicates([key])
