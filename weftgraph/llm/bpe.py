@@ -242,7 +242,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
     """
     spec, key = _spec(df, path)
     df = df.drop(ids)
-    schema = T.StructType(list(df.schema.fields)).add(ids, "array<int>")
+    schema = T.StructType(list(df.schema.fields)).add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         model = _model(key, spec)
