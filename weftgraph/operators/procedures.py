@@ -81,7 +81,8 @@ def _nearest(compiler, c, rows):
 
 
 def _join(v, by):
-    return Value(F.array_join(F.transform(v.col, lambda x: F.coalesce(scalar.text_of(Value(x, v.type.elementType)), F.lit("null"))), by.col), STRING)
+    parts = F.transform(v.col, lambda x: F.coalesce(scalar.text_of(Value(x, v.type.elementType)), F.lit("null")))
+    return Value(F.call_function("array_join", parts, by.col), STRING)
 
 
 def _from_pairs(v):

@@ -63,10 +63,14 @@ def multi_nearest(df: DataFrame, column: str, queries: list[list[float]], k: int
     """Rows hold several vectors; a row's score is the sum over the queries of its most alike vector (1 - distance)."""
     score = F.lit(0.0)
     for q in queries:
-        score = score + F.array_max(F.transform(F.col(column), lambda v, q=q: 1.0 - distance(v, as_vector(q), metric)))
+        score = score + F.array_max(F.transform(F.col(column), _likeness(q, metric)))
     return top(df.withColumn("_score", score), "_score", k, F.col(key))
 
 
+def _likeness(query: list[float], metric: str):
+    return lambda v: 1.0 - distance(v, as_vector(query), metric)
+
+
 class InvertedLists:
     """Vectors in the cells of k-means centroids; a search reads the nearest cells only.
 
