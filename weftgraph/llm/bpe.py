@@ -44,7 +44,7 @@ class WordBpe:
     from the end gives the encoding; nothing is searched or merged.
     """
 
-    def __init__(self, spec: dict, cache: int = 300_000):
+    def __init__(self, spec: dict, cache: int = 50_000):
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -66,6 +66,7 @@ class WordBpe:
         self._left: dict[int, list] = {}
         self._fits: dict[int, bool] = {}
         self.cache_size, self.cache, self.words = cache, {}, {}
+        self.old_cache, self.old_words = {}, {}
         self.automaton = ahocorasick.Automaton()
         for text, i in self.vocab.items():
             if i in self.parts:
@@ -122,7 +123,7 @@ class WordBpe:
             if not out:
                 break
         if before == _NEVER:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             self._fits[key] = out
         return out
@@ -164,21 +165,28 @@ class WordBpe:
     def _keep(self, key: str, ids: list[int]) -> tuple[list[int], str, str]:
         found = ids, " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
         if len(self.cache) >= self.cache_size:
+            # What is used again moves on; the rest is forgotten with the generation after next.
+            self.old_cache = dict(self.cache)
             self.cache.clear()
         self.cache[key] = found
         return found
 
     def _chunk(self, chunk: str) -> tuple[list[int], str, str]:
         """A stretch without white space, in lower case."""
+        found = self.old_cache.get(chunk)
+        if found is not None:
+            self.cache[chunk] = found
+            return found
         if chunk.isalpha():
             return self._keep(chunk, self.word(chunk))
         if len(self.words) >= self.cache_size:
+            self.old_words = dict(self.words)
             self.words.clear()
         words, out = self.words, []
         for w in _WORDS.findall(chunk):
             ids = words.get(w)
             if ids is None:
-                ids = words[w] = self.word(w)
+                ids = words[w] = self.old_words.get(w) or self.word(w)
             out += ids
         return self._keep(chunk, out)
 
