@@ -21,13 +21,14 @@ BLOCKS = 6
 CELL = 4096
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``fp`` (long): the majority bits of the XXH64 of all word shingles.
 
     A-Z is lower-cased, words are runs without ASCII white space, shingles are
     joined by spaces and repeats count; a text with fewer words is one shingle, one
     without words (or null) gets 0. The hashes are made by the engine; only their
-    bits are counted in Python, one text at a time.
+    bits are counted in Python, one text at a time. Without ``keep_text`` the text
+    itself does not go through Python.
     """
     docs = docs.drop("fp")
     t = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -42,6 +43,8 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> Dat
         ),
     ).when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", "_words"))))
     rows = rows.withColumn("_hashes", shingles).drop("_words")
+    if not keep_text:
+        docs, rows = docs.drop(text), rows.drop(text)
     schema = T.StructType(list(docs.schema.fields)).add("fp", "long")
     weights = (np.uint64(1) << np.arange(64, dtype=np.uint64))[::-1]
 
@@ -170,7 +173,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     without words have fingerprint 0 and link like any other. A null key never is a
     component's id unless the whole component has none. Repeated rows each get a row.
     """
-    rows, _ = cut(fingerprints(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").select("_key", "fp"))
+    rows, _ = cut(fingerprints(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", keep_text=False))
     fps = rows.groupBy("fp").agg(F.min("_key").alias("least"))
     roots = connected_components(links(fps.select("fp")))
     labelled = fps.join(roots, fps["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
