@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: Weak parts: what may be a key, if an access identifier is near, and where it may be used.
-WEAK_KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/=_-])"
+WEAK_KEY = r"(?<![A-Za-z0-9+/_-])(?!AKIA[A-Z0-9]{12})(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z0-9]+|postgres|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{4,}"""
 #: Parts link within this many code points.
 SCOPE = 200
@@ -44,27 +46,18 @@ def _matches(text: Column, pattern: str) -> Column:
 _NONE = "array<struct<s:int,e:int>>"
 
 
+#: One cheap test that every text with a certain span passes.
+_ANY = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}"
+
+
 def _guarded(condition: Column, value: Column) -> Column:
     return F.when(condition, value).otherwise(F.array().cast(_NONE))
 
 
 def _assign(text: Column) -> Column:
-    low = F.lower(text)
-    may = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key")
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     both = F.zip_with(_matches(text, ASSIGN), values, lambda m, v: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.length(v).alias("n")))
-    good = F.transform(F.filter(both, lambda x: x["n"] >= 8), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    return _guarded(may, good)
-
-
-def base_spans(text: Column) -> dict[str, Column]:
-    """The certain spans of each kind; a null text has none."""
-    t = F.coalesce(text, F.lit(""))
-    return {
-        "assign": _assign(t),
-        "access": _guarded(t.contains("AKIA"), _matches(t, ACCESS)),
-        "hex": _guarded(t.rlike(HEX), _matches(t, HEX)),
-    }
+    return F.transform(F.filter(both, lambda x: x["n"] >= 8), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
 
 def _listed(spans: Column) -> Column:
@@ -83,31 +76,50 @@ def _tagged(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
 
 
-def weak_links(docs: DataFrame, key: list[str], text: str, scope: int = SCOPE) -> DataFrame:
-    """Weak spans that complementary parts confirm: ``key`` columns and ``_weak`` (structs s, k, e).
+def _parts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Certain spans and weak parts of the documents that may have any, once for equal rows.
+
+    The table is small (texts without a telling word are left out by one test) and is
+    written, so that each pattern runs once over each text. Weak parts are looked
+    for only where there is an access identifier.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    access = t.contains("AKIA")
+    rows = docs.where(t.rlike(_ANY)).select(
+        F.col(key).alias("_key"), *_content(text), _assign(t).alias("assign"), _guarded(access, _matches(t, ACCESS)).alias("access"),
+        _matches(t, HEX).alias("hex"), _guarded(access, _matches(t, WEAK_KEY)).alias("key"), _guarded(access, _matches(t, ENDPOINT)).alias("endpoint"),
+    )
+    return cut(rows)[0].dropDuplicates(["_key", "_h1", "_h2"])
+
+
+def _content(text: str) -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64(F.col(text)).alias("_h1"), F.xxhash64(F.lit(7), F.col(text)).alias("_h2")]
+
+
+_ROW = ["_key", "_h1", "_h2"]
+
+
+def weak_links(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Weak spans that complementary parts confirm: the row's columns and ``_weak`` (structs s, k, e).
 
     A possible key counts where an access identifier starts or ends within ``scope``
     code points of it; an endpoint where both an access identifier and a key or an
     assigned secret do. Parts and anchors meet in an interval join: both sides are
     laid on a grid of cells ``scope`` wide, joined on document and cell and compared
-    exactly. Only the spans of documents that hold an access identifier are
-    shuffled, never texts.
+    exactly. Only spans are shuffled, never texts.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.where(t.contains("AKIA") & t.rlike(ACCESS)).select(
-        *key,
-        F.concat(
-            _tagged(_assign(t), 0), _tagged(_matches(t, ACCESS), 1), _tagged(_matches(t, WEAK_KEY), 3), _tagged(_matches(t, ENDPOINT), 4)
-        ).alias("spans"),
+    rows = parts.where(F.size("access") > 0).select(
+        *_ROW, F.concat(_tagged(F.col("assign"), 0), _tagged(F.col("access"), 1), _tagged(F.col("key"), 3), _tagged(F.col("endpoint"), 4)).alias("spans")
     )
-    spans = rows.select(*key, F.explode("spans").alias("x")).select(*key, "x.s", "x.k", "x.e").distinct()
+    spans = rows.select(*_ROW, F.explode("spans").alias("x")).select(*_ROW, "x.s", "x.k", "x.e")
 
-    def near(parts: DataFrame, anchors: DataFrame) -> DataFrame:
-        left = parts.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("s") - scope) / scope), F.floor((F.col("e") + scope) / scope))))
-        right = anchors.select(*key, F.col("s").alias("_s"), F.col("e").alias("_e")).withColumn(
+    def near(some: DataFrame, anchors: DataFrame) -> DataFrame:
+        left = some.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("s") - scope) / scope), F.floor((F.col("e") + scope) / scope))))
+        right = anchors.select(*[F.col(c).alias("r" + c) for c in _ROW], F.col("s").alias("_s"), F.col("e").alias("_e")).withColumn(
             "_cell", F.explode(F.sequence(F.floor(F.col("_s") / scope), F.floor(F.col("_e") / scope)))
         )
-        on = [left[c].eqNullSafe(right[c]) for c in key] + [
+        on = [left[c].eqNullSafe(right["r" + c]) for c in _ROW] + [
             left["_cell"] == right["_cell"],
             right["_s"] <= left["e"] + scope,
             right["_e"] >= left["s"] - scope,
@@ -118,7 +130,17 @@ def weak_links(docs: DataFrame, key: list[str], text: str, scope: int = SCOPE) -
     keys = near(spans.where("k = 3"), access)
     hidden = keys.unionByName(spans.where("k = 0"))
     ends = near(near(spans.where("k = 4"), access), hidden)
-    return keys.unionByName(ends).groupBy(*key).agg(F.collect_set(F.struct("s", "k", "e")).alias("_weak"))
+    return keys.unionByName(ends).groupBy(*_ROW).agg(F.collect_set(F.struct("s", "k", "e")).alias("_weak"))
+
+
+def _found(docs: DataFrame, key: str, text: str, scope: int) -> DataFrame:
+    """For each different row with a certain span: the arrays and ``spans`` with the weak ones."""
+    parts = _parts(docs, key, text)
+    weak = weak_links(parts, scope).select(*[F.col(n).alias("w" + n) for n in _ROW], "_weak")
+    joined = parts.join(weak, [parts[n].eqNullSafe(weak["w" + n]) for n in _ROW], "left")
+    empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    spans = F.concat(_tagged(F.col("assign"), 0), _tagged(F.col("access"), 1), _tagged(F.col("hex"), 2), F.coalesce("_weak", empty))
+    return joined.select(*[F.col(n).alias("f" + n) for n in _ROW], "assign", "access", "hex", spans.alias("spans"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -129,17 +151,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     end ``e``). A null text counts as empty; repeated rows each get a row; documents
     are told apart by key and content, so rows that share a key do not mix.
     """
-    spec = [F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_h1"), F.xxhash64(F.lit(7), F.col(text)).alias("_h2")]
-    names = ["_key", "_h1", "_h2"]
-    slim = docs.select(*spec, *[v.alias(k) for k, v in base_spans(F.col(text)).items()])
-    weak = weak_links(docs.select(*spec, F.col(text).alias("_text")), names, "_text", scope)
-    weak = weak.select(*[F.col(n).alias("r" + n) for n in names], "_weak")
-    joined = slim.join(weak, [slim[n].eqNullSafe(weak["r" + n]) for n in names], "left")
-    empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    spans = F.concat(
-        _tagged(F.col("assign"), 0), _tagged(F.col("access"), 1), _tagged(F.col("hex"), 2), F.coalesce("_weak", empty)
-    )
-    return joined.select(F.col("_key").alias(key), "assign", "access", "hex", spans.alias("spans"), "_h1", "_h2")
+    slim = docs.select(F.col(key).alias("_key"), *_content(text))
+    found = _found(docs, key, text, scope)
+    joined = slim.join(found, [slim[n].eqNullSafe(found["f" + n]) for n in _ROW], "left")
+    none = F.array().cast(_NONE)
+    kinds = [F.coalesce(k, none).alias(k) for k in ("assign", "access", "hex")]
+    return joined.select(F.col("_key").alias(key), *kinds, F.coalesce("spans", F.array().cast("array<struct<s:int,k:int,e:int>>")).alias("spans"))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -161,12 +178,9 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     A null text stays null. Documents without spans are left as they are.
     """
     names = docs.columns
-    found = scan(docs, key, text).where(F.size("spans") > 0).select(
-        F.col(key).alias("_key"), "_h1", "_h2", F.transform(F.array_sort("spans"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("_spans")
-    ).dropDuplicates(["_key", "_h1", "_h2"])
-    same = (
-        F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_h1")) & (F.xxhash64(F.lit(7), F.col(text)) == F.col("_h2"))
-    )
+    found = _found(docs, key, text, SCOPE).where(F.size("spans") > 0)
+    found = found.select(*["f" + n for n in _ROW], F.transform(F.array_sort("spans"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("_spans"))
+    same = F.col(key).eqNullSafe(F.col("f_key")) & (F.xxhash64(F.col(text)) == F.col("f_h1")) & (F.xxhash64(F.lit(7), F.col(text)) == F.col("f_h2"))
     joined = docs.join(found, same, "left")
     built = F.aggregate(
         "_spans",
