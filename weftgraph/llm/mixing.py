@@ -18,8 +18,13 @@ BROADCAST_SOURCES = 20_000
 
 def uniform(*parts):
     """A number in [0, 1) from the md5 of the parts, the same on every engine."""
+    return hashed(*parts) / F.lit(2.0**52)
+
+
+def hashed(*parts):
+    """52 bits of the md5 of the parts as a long."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
 def rates(docs: DataFrame, source: str, text: str, weights: dict[str, float] | None, alpha: float, epochs: float) -> DataFrame:
@@ -92,5 +97,5 @@ def mix(
     )
     rows = rows.withColumn("_n", F.when(F.col("mean") > 0, count).otherwise(0)).where("_n > 0")
     rows = rows.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    rows = rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(key), F.col("copy")))
+    rows = rows.withColumn("shuffle_key", hashed(F.lit(seed), F.col(key), F.col("copy"), F.lit("order")))
     return rows.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", "copy")

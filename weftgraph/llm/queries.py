@@ -81,5 +81,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_MIXING = """
+WITH s AS (SELECT source, sum(CAST(length(coalesce(text, '')) AS DOUBLE)) AS chars FROM documents GROUP BY source),
+t AS (SELECT sum(chars) AS c, sum(pow(chars, 0.5)) AS w FROM s),
+m AS (SELECT source, CASE WHEN chars = 0 THEN 1.0 ELSE pow(chars, 0.5) / w * c / chars END AS mean FROM s, t),
+d AS (SELECT source, mean, CAST(greatest(ceil(mean / 8.0), 1) AS INTEGER) AS draws FROM m),
+f AS (SELECT source, mean, draws, list_transform(range(0, 64), lambda k: exp(-(mean / draws) + k * ln(mean / draws) - lgamma(k + 1))) AS terms FROM d),
+g AS (SELECT source, mean, draws, list_transform(range(1, 65), lambda k: list_sum(terms[1:k])) AS cdf FROM f),
+n AS (SELECT x.*, list_sum(list_transform(range(1, draws + 1), lambda i: len(list_filter(cdf, lambda y:
+  y <= CAST('0x' || substr(md5('17|' || doc_id || '|' || i), 1, 13) AS BIGINT) / 4503599627370496.0)))) AS k
+  FROM documents x JOIN g ON x.source IS NOT DISTINCT FROM g.source),
+c AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, CAST(k AS BIGINT) + 1)) AS copy FROM n)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
+  CAST('0x' || substr(md5('17|' || doc_id || '|' || copy || '|order'), 1, 13) AS BIGINT) AS shuffle_key FROM c
+"""
+
+_TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the operator."""
+    return {"op1_mixing": _MIXING, "op4_topk": _TOPK}
