@@ -108,28 +108,43 @@ def _prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"_key {kind}, rid long, packed binary, windows array<struct<h:long,s:long,c:int,lo:int,hi:int>>")
 
 
+_NEED = int(np.ceil(2 * SHORTEST * SIMILAR / (1 + SIMILAR) - 1e-9))
+
+
+def _covered(a: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which SHORTEST-long stretches of ``a`` have enough shingles in the sorted ``other``."""
+    at = other.searchsorted(a)
+    at[at == len(other)] = 0
+    hit = np.zeros(len(a) + 1, dtype=np.int32)
+    np.cumsum(other[at] == a, out=hit[1:])
+    return hit[SHORTEST:] - hit[:-SHORTEST] >= _NEED
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which SHORTEST-long stretches of ``a`` and of ``b`` have a counterpart in the other.
 
     A stretch counts where so many of its shingles are in the other context that the
     Jaccard similarity to a stretch of its length there reaches SIMILAR.
     """
-    need = int(np.ceil(2 * SHORTEST * SIMILAR / (1 + SIMILAR) - 1e-9))
-    out = []
-    for x, y in ((a, b), (b, a)):
-        hit = np.concatenate(([0], np.cumsum(np.isin(x, y))))
-        out.append(hit[SHORTEST:] - hit[:-SHORTEST] >= need)
-    return out[0], out[1]
+    return _covered(a, np.sort(b)), _covered(b, np.sort(a))
+
+
+def _minima(bodies: list[np.ndarray]) -> np.ndarray:
+    """The further min-hashes of each context: (contexts, SECOND)."""
+    wide = np.concatenate(bodies).astype(np.uint64)
+    begin = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))[:-1]
+    return np.stack([np.minimum.reduceat(_mixed(wide, _SEEDS[FUNCTIONS + k]), begin) for k in range(SECOND)], axis=1)
 
 
 def _verified(members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
     """Of contexts (value, content, shingles): those verified, as value, content, first and last shingle, class.
 
-    A context is compared with the leaders of the contexts that share a further
-    min-hash with it and becomes a leader itself where none is alike.
+    A context is compared, once each, with the leaders of the contexts that share a
+    further min-hash with it, and becomes a leader itself where none is alike.
     """
     n = len(members)
-    flags = [np.zeros(len(m[2]) - SHORTEST + 1, dtype=bool) for m in members]
+    flags: list[np.ndarray | None] = [None] * n
+    ordered: list[np.ndarray | None] = [None] * n
     parent = list(range(n))
 
     def top(i):
@@ -138,31 +153,42 @@ def _verified(members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int
             i = parent[i]
         return i
 
+    def sorted_of(i):
+        if ordered[i] is None:
+            ordered[i] = np.sort(members[i][2])
+        return ordered[i]
+
     leaders: dict[tuple, list[int]] = {}
-    for i, (_, _, sh) in enumerate(members):
-        wide = sh.astype(np.uint64)
-        for k in range(SECOND):
-            mine = leaders.setdefault((k, int(_mixed(wide, _SEEDS[FUNCTIONS + k]).min())), [])
+    for i, least in enumerate(_minima([m[2] for m in members]).tolist()):
+        sh = members[i][2]
+        tried: dict[int, bool] = {}
+        for k, value in enumerate(least):
+            mine = leaders.setdefault((k, value), [])
             found = False
             for j in mine:
-                if top(i) == top(j) and flags[i].all():
-                    found = True
-                    break
-                x, y = alike(sh, members[j][2])
-                if x.any():
-                    flags[i] |= x
-                    flags[j] |= y
-                    parent[max(top(i), top(j))] = min(top(i), top(j))
+                if j not in tried:
+                    x = _covered(sh, sorted_of(j))
+                    tried[j] = bool(x.any())
+                    if tried[j]:
+                        y = _covered(members[j][2], sorted_of(i))
+                        flags[i] = x if flags[i] is None else flags[i] | x
+                        flags[j] = y if flags[j] is None else flags[j] | y
+                        a, b = top(i), top(j)
+                        parent[max(a, b)] = min(a, b)
+                if tried[j]:
                     found = True
                     break
             if not found:
                 mine.append(i)
     out = []
     for i, (h, s, _) in enumerate(members):
-        d = np.diff(np.concatenate(([0], flags[i].astype(np.int8), [0])))
+        if flags[i] is None:
+            continue
+        d = np.diff(np.concatenate(([0], flags[i].view(np.int8), [0])))
         root = members[top(i)]
-        for a, b in zip(np.nonzero(d == 1)[0], np.nonzero(d == -1)[0]):
-            out.append((h, s, int(a), int(b) + SHORTEST - 2, xxhash.xxh64_intdigest(f"{root[0]},{root[1]}") >> 2))
+        name = xxhash.xxh64_intdigest(f"{root[0]},{root[1]}") >> 2
+        for a, b in zip(np.nonzero(d == 1)[0].tolist(), np.nonzero(d == -1)[0].tolist()):
+            out.append((h, s, a, b + SHORTEST - 2, name))
     return out
 
 
