@@ -109,14 +109,13 @@ class TextIndex:
         return lambda w: w == F.lit(term)
 
     def phrase(self, text: str, k: int | None = None) -> DataFrame:
-        """Documents with the words in a row, scored by them."""
+        """Documents with the words in a row, scored by them (not for the ``raw`` tokenizer, whose tokens may hold spaces)."""
         words = self.tokenizer.words(text)
         if not words:
             return self.match("")
-        n = len(words)
-        asked = F.array(*map(F.lit, words))
-        inside = F.exists(F.sequence(F.lit(1), F.greatest(F.size("tokens") - n + 1, F.lit(1))), lambda i: F.slice("tokens", i, n) == asked)
-        rows = self.docs.where((F.size("tokens") >= n) & inside).select(F.col("doc").alias("here"))
+        # Tokens hold no spaces, so the words stand in a row where their joined text occurs between spaces.
+        joined = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+        rows = self.docs.where(joined.contains(" " + " ".join(words) + " ")).select(F.col("doc").alias("here"))
         out = self._scores(sorted(set(words))).join(rows, F.col("doc") == F.col("here"), "left_semi").select(F.col("doc").alias(self.key), F.col("score").alias("_score"))
         return out if k is None else out.orderBy(F.desc("_score"), self.key).limit(k)
 
