@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@dataclass
-class NodeTable:
-    """Nodes in columns ``id`` and properties; labels are fixed, or in an array column ``labels``."""
+class _Table:
+    """A table that is made when it is first touched; it may be given as a function."""
 
-    df: DataFrame
-    label: str | None  # None: the column ``labels`` has them
-    props: list[str] = field(default_factory=list)
+    reserved: tuple[str, ...] = ()
 
-    def __post_init__(self):
-        if not self.props:
-            self.props = [c for c in self.df.columns if c not in ("id", "labels")]
+    def __init__(self, df: DataFrame | Callable[[], DataFrame], props: list[str] | None = None):
+        self._df, self._props = df, props
 
+    @property
+    def df(self) -> DataFrame:
+        if not isinstance(self._df, DataFrame):
+            self._df = self._df()
+        return self._df
+
+    @property
+    def props(self) -> list[str]:
+        if self._props is None:
+            self._props = [c for c in self.df.columns if c not in self.reserved]
+        return self._props
+
+
+class NodeTable(_Table):
+    """Nodes in columns ``id`` and properties; labels are fixed, or (None) in an array column ``labels``."""
 
-@dataclass
-class EdgeTable:
-    """Relationships in columns ``id``, ``src``, ``dst`` and properties; the type is fixed, or in a column ``type``."""
+    reserved = ("id", "labels")
+
+    def __init__(self, df, label: str | None, props: list[str] | None = None):
+        super().__init__(df, props)
+        self.label = label
+
+
+class EdgeTable(_Table):
+    """Relationships in columns ``id``, ``src``, ``dst`` and properties; the type is fixed, or (None) in a column ``type``.
+
+    A label of an end may be fixed; None is any.
+    """
 
-    df: DataFrame
-    type: str | None
-    src_label: str | None = None  # None: any
-    dst_label: str | None = None
-    props: list[str] = field(default_factory=list)
+    reserved = ("id", "src", "dst", "type")
 
-    def __post_init__(self):
-        if not self.props:
-            self.props = [c for c in self.df.columns if c not in ("id", "src", "dst", "type")]
+    def __init__(self, df, type: str | None, src_label: str | None = None, dst_label: str | None = None, props: list[str] | None = None):
+        super().__init__(df, props)
+        self.type, self.src_label, self.dst_label = type, src_label, dst_label
 
 
 class PropertyGraph:
@@ -45,8 +61,8 @@ class PropertyGraph:
     over several tables, ids are text made of label and id.
     """
 
-    def __init__(self, nodes: list[NodeTable], edges: list[EdgeTable]):
-        self.nodes, self.edges = nodes, edges
+    def __init__(self, nodes: list[NodeTable], edges: list[EdgeTable], spark=None):
+        self.nodes, self.edges, self._spark = nodes, edges, spark
         self.indexes: dict[str, dict] = {}
         self.constraints: dict[str, dict] = {}
 
@@ -57,7 +73,7 @@ class PropertyGraph:
 
     @property
     def spark(self):
-        return self.nodes[0].df.sparkSession
+        return self._spark or self.nodes[0].df.sparkSession
 
     def tables_for(self, labels: list[str]) -> list[int]:
         """Node tables that may hold nodes with all the labels (at most one fixed label each)."""

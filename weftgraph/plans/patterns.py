@@ -104,14 +104,17 @@ class Matcher:
             df = df.where(self.security(ref))
         return df, ref
 
-    def edges(self, var: str, tables: list[int], types: list[str], left: list[int] | None, right: list[int] | None, native: tuple[bool, bool]) -> tuple[DataFrame, RelRef]:
-        """Edges as columns of ``var``, ends native or global; ``left``/``right``: node tables of src and dst."""
+    def edges(self, var: str, tables: list[int], types: list[str], left: list[int] | None, right: list[int] | None, native: tuple[bool, bool], single: bool = True) -> tuple[DataFrame, RelRef]:
+        """Edges as columns of ``var``, ends native or global; ``left``/``right``: node tables of src and dst.
+
+        Ids are native for a ``single`` table; of several they name the table too, as its ids are its own.
+        """
         g = self.graph
         frames = [g.edges[i] for i in tables]
         names = list(dict.fromkeys(p for t in frames for p in t.props))
         props = {n: property_type([t.df for t in frames if n in t.props], n) for n in names}
         out = None
-        same_id = len({t.df.schema["id"].dataType for t in frames}) == 1 if frames else False
+        same_id = single and len(frames) == 1
         for t in frames:
             df = t.df
             if t.type is None and types:
@@ -123,7 +126,7 @@ class Matcher:
                 return c if whole else (c.cast("string") if label is None else F.concat(F.lit(label + ":"), c.cast("string")))
 
             cols = [
-                (F.col("id") if same_id else F.col("id").cast("string")).alias(f"{var}.@id"),
+                (F.col("id") if same_id else F.concat(F.lit(f"{t.type or ''}:{t.src_label or ''}:"), F.col("id").cast("string"))).alias(f"{var}.@id"),
                 (F.col("type") if t.type is None else F.lit(t.type)).alias(f"{var}.@type"),
                 end("src", native[0]).alias(f"{var}.@src"),
                 end("dst", native[1]).alias(f"{var}.@dst"),
@@ -217,15 +220,15 @@ class Matcher:
         if direction in ("out", "both"):
             fit = [e for e in tables if any(self.graph.joins(e, a, "src") for a in left) and any(self.graph.joins(e, b, "dst") for b in right)]
             if fit:
-                df, ref = self.edges(name, fit, r.types, left, right, (near_native, far_native))
+                df, ref = self.edges(name, fit, r.types, left, right, (near_native, far_native), len(tables) == 1)
                 forms.append((df.withColumn("@near", F.col(f"`{name}.@src`")).withColumn("@far", F.col(f"`{name}.@dst`")), ref))
         if direction in ("in", "both"):
             fit = [e for e in tables if any(self.graph.joins(e, a, "dst") for a in left) and any(self.graph.joins(e, b, "src") for b in right)]
             if fit:
-                df, ref = self.edges(name, fit, r.types, right, left, (far_native, near_native))
+                df, ref = self.edges(name, fit, r.types, right, left, (far_native, near_native), len(tables) == 1)
                 forms.append((df.withColumn("@near", F.col(f"`{name}.@dst`")).withColumn("@far", F.col(f"`{name}.@src`")), ref))
         if not forms or not edge_tables[k]:
-            df, ref = self.edges(name, tables, r.types, None, None, (True, True))
+            df, ref = self.edges(name, tables, r.types, None, None, (True, True), len(tables) == 1)
             forms = [(df.withColumn("@near", F.col(f"`{name}.@src`")).withColumn("@far", F.col(f"`{name}.@dst`")).where(F.lit(False)), ref)]
         df, ref = forms[0]
         for other, other_ref in forms[1:]:
@@ -304,7 +307,7 @@ class Matcher:
         labels = {g.edges[e].src_label for e in tables} | {g.edges[e].dst_label for e in tables}
         native = len(labels) <= 1
         edge = self.fresh("e")
-        df, ref = self.edges(edge, tables, r.types, None, None, (native, native))
+        df, ref = self.edges(edge, tables, r.types, None, None, (native, native), len(tables) == 1)
         want_rels = r.var is not None and (self.used.get(r.var, 0) > 1 or p.name is not None)
         item = ref.struct() if want_rels else None
         cols = [F.col(f"`{edge}.@src`").alias("@a"), F.col(f"`{edge}.@dst`").alias("@b"), ref.id().alias("@eid")] + ([item.alias("@item")] if want_rels else [])

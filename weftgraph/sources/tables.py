@@ -12,59 +12,79 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _node(df: DataFrame, label: str, key) -> NodeTable:
-    props = df.columns
-    return NodeTable(df.select((F.col(key) if isinstance(key, str) else key).alias("id"), *df.columns), label, props)
+_ITEM = {f"l_{x}": x for x in ("quantity", "extendedprice", "discount", "tax", "linenumber", "returnflag", "linestatus", "shipdate")}
 
 
 def tables_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Nodes for each table and relationships for its foreign keys.
 
-    Relationships are projections of the tables that hold the key, so they cost no
-    join until a query follows them; parallel ones (line items) are kept.
+    A table is opened when a query first touches it. Relationships are projections
+    of the tables that hold the key, so they cost no join until a query follows
+    them; parallel ones (line items) are kept.
     """
-    t = {n: read(spark, sf_dir, n) for n in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()}
-    turn = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    users = t["events"].select("user_id").distinct()
+    opened: dict[str, DataFrame] = {}
+
+    def table(name: str) -> DataFrame:
+        if name not in opened:
+            opened[name] = read(spark, sf_dir, name)
+        return opened[name]
+
+    def turn(number: str = "turn"):
+        return F.concat_ws("/", F.col("conv_id").cast("string"), F.col(number).cast("string"))
+
+    def node(label: str, name: str, key, rows=None) -> NodeTable:
+        def make():
+            df = table(name) if rows is None else rows(table(name))
+            return df.select((F.col(key) if isinstance(key, str) else key()).alias("id"), *df.columns)
+
+        return NodeTable(make, label)
+
+    def edge(kind: str, name: str, src: str, dst: str, a: str, b: str, key: str | None = None, rows=None, items: bool = False) -> EdgeTable:
+        def make():
+            df = table(name) if rows is None else rows(table(name))
+            if items:  # a line item has no key of its own: all its columns are it
+                ident = F.xxhash64(*[F.col(c) for c in df.columns])
+            else:
+                ident = F.col(key or src)
+            return df.select(ident.alias("id"), F.col(src).alias("src"), F.col(dst).alias("dst"), *[F.col(x).alias(y) for x, y in (_ITEM if items else {}).items()])
+
+        return EdgeTable(make, kind, a, b, list(_ITEM.values()) if items else [])
+
+    def chain(events: DataFrame) -> DataFrame:
+        by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+        return events.select("event_id", "user_id", "ts").withColumn("next", F.lead("event_id").over(by_user)).where("next is not null")
+
+    def following(turns: DataFrame) -> DataFrame:
+        rows = turns.select("conv_id", "turn").withColumn("after", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))).where("after is not null")
+        return rows.select(turn().alias("from"), turn("after").alias("to"))
+
     nodes = [
-        _node(t["region"], "Region", "r_regionkey"),
-        _node(t["nation"], "Nation", "n_nationkey"),
-        _node(t["customer"], "Customer", "c_custkey"),
-        _node(t["supplier"], "Supplier", "s_suppkey"),
-        _node(t["part"], "Part", "p_partkey"),
-        _node(t["orders"], "Order", "o_orderkey"),
-        _node(users, "User", "user_id"),
-        _node(t["events"], "Event", "event_id"),
-        _node(t["documents"], "Doc", "doc_id"),
-        _node(t["embeddings"], "Vec", "vec_id"),
-        _node(t["pages"], "Page", "page_id"),
-        _node(t["benchmark"], "Item", "item_id"),
-        _node(t["labels"], "Label", "doc_id"),
-        _node(t["conversations"], "Turn", turn),
+        node("Region", "region", "r_regionkey"),
+        node("Nation", "nation", "n_nationkey"),
+        node("Customer", "customer", "c_custkey"),
+        node("Supplier", "supplier", "s_suppkey"),
+        node("Part", "part", "p_partkey"),
+        node("Order", "orders", "o_orderkey"),
+        node("User", "events", "user_id", lambda e: e.select("user_id").distinct()),
+        node("Event", "events", "event_id"),
+        node("Doc", "documents", "doc_id"),
+        node("Vec", "embeddings", "vec_id"),
+        node("Page", "pages", "page_id"),
+        node("Item", "benchmark", "item_id"),
+        node("Label", "labels", "doc_id"),
+        node("Turn", "conversations", turn),
     ]
-
-    def edge(df, name, src, dst, a, b, props=(), key=None):
-        s, d = (F.col(c) if isinstance(c, str) else c for c in (src, dst))
-        out = df.select((key if key is not None else s).alias("id"), s.alias("src"), d.alias("dst"), *[F.col(x).alias(y) for x, y in props])
-        return EdgeTable(out, name, a, b, [y for _, y in props])
-
-    line = F.xxhash64(*[F.col(c) for c in t["lineitem"].columns])
-    item = [("l_quantity", "quantity"), ("l_extendedprice", "extendedprice"), ("l_discount", "discount"), ("l_tax", "tax"), ("l_linenumber", "linenumber"), ("l_returnflag", "returnflag"), ("l_linestatus", "linestatus"), ("l_shipdate", "shipdate")]
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    chain = t["events"].select("event_id", "user_id", "ts").withColumn("next", F.lead("event_id").over(by_user)).where("next is not null")
-    turns = t["conversations"].select("conv_id", "turn")
-    following = turns.select(turn.alias("src"), F.concat_ws("/", F.col("conv_id").cast("string"), F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).cast("string")).alias("dst"), F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("t")).where("t is not null")
     edges = [
-        edge(t["nation"], "IN_REGION", "n_nationkey", "n_regionkey", "Nation", "Region"),
-        edge(t["customer"], "IN_NATION", "c_custkey", "c_nationkey", "Customer", "Nation"),
-        edge(t["supplier"], "IN_NATION", "s_suppkey", "s_nationkey", "Supplier", "Nation"),
-        edge(t["orders"], "PLACED", "o_custkey", "o_orderkey", "Customer", "Order", key=F.col("o_orderkey")),
-        edge(t["lineitem"], "CONTAINS", "l_orderkey", "l_partkey", "Order", "Part", item, line),
-        edge(t["lineitem"], "SUPPLIES", "l_suppkey", "l_partkey", "Supplier", "Part", item, line),
-        edge(t["lineitem"], "SHIPPED_BY", "l_orderkey", "l_suppkey", "Order", "Supplier", item, line),
-        edge(t["events"], "DID", "user_id", "event_id", "User", "Event", key=F.col("event_id")),
-        edge(chain, "NEXT_EVENT", "event_id", "next", "Event", "Event"),
-        edge(following, "NEXT", "src", "dst", "Turn", "Turn"),
-        edge(t["labels"], "HAS_LABEL", "doc_id", "doc_id", "Doc", "Label"),
+        edge("IN_REGION", "nation", "n_nationkey", "n_regionkey", "Nation", "Region"),
+        edge("IN_NATION", "customer", "c_custkey", "c_nationkey", "Customer", "Nation"),
+        edge("IN_NATION", "supplier", "s_suppkey", "s_nationkey", "Supplier", "Nation"),
+        edge("PLACED", "orders", "o_custkey", "o_orderkey", "Customer", "Order", "o_orderkey"),
+        edge("CONTAINS", "lineitem", "l_orderkey", "l_partkey", "Order", "Part", items=True),
+        edge("SUPPLIES", "lineitem", "l_suppkey", "l_partkey", "Supplier", "Part", items=True),
+        edge("SHIPPED_BY", "lineitem", "l_orderkey", "l_suppkey", "Order", "Supplier", items=True),
+        edge("DID", "events", "user_id", "event_id", "User", "Event", "event_id"),
+        edge("NEXT_EVENT", "events", "event_id", "next", "Event", "Event", rows=chain),
+        edge("NEXT", "conversations", "from", "to", "Turn", "Turn", rows=following),
+        edge("HAS_LABEL", "labels", "doc_id", "doc_id", "Doc", "Label"),
     ]
-    return PropertyGraph(nodes, edges)
+    return PropertyGraph(nodes, edges, spark)
