@@ -82,7 +82,14 @@ class WordBpe:
             key = body + _END if ends else body
             self.automaton.add_word(key, (i, len(key)))
         self.automaton.make_automaton()
-        self.library = tokenizers.Tokenizer.from_str(json.dumps(spec))
+        self._spec, self._library = json.dumps(spec), None
+
+    @property
+    def library(self) -> tokenizers.Tokenizer:
+        """The library's tokenizer, made only when a text has characters that it must split itself."""
+        if self._library is None:
+            self._library = tokenizers.Tokenizer.from_str(self._spec)
+        return self._library
 
     def _settle(self, token: int, made: list[tuple[int, int, int]]) -> bool:
         """Of several merges that give one token, keep the one that is really reached."""
