@@ -420,3 +420,42 @@ def test_pipeline(spark, docs, tmp_path):
     want = Counter((r["doc_id"], tuple(r["token_ids"])) for r in pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect())
     got = Counter((r["doc_id"], tuple(r["token_ids"])) for r in pipeline.run(spark, str(tmp_path)).collect())
     assert got == want and got
+
+
+@pytest.mark.parametrize("hot", [2048, 3])
+def test_passages_short_in_unlike_surroundings(spark, hot, monkeypatch):
+    monkeypatch.setattr(passages, "HOT", hot)
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):
+        p = words(rng, 51, 10**6)
+        rows += [(2 * i + k, words(rng, 120, 10**6) + " " + p + " " + words(rng, 120, 10**6)) for k in range(2)]
+    often = words(rng, 51, 10**6)
+    rows += [(1000 + k, words(rng, 120, 10**6) + " " + often + " " + words(rng, 120, 10**6)) for k in range(12)]
+    got = {r["doc_id"]: r for r in passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {k for k, _ in rows}
+    for k, r in got.items():
+        assert r["class_id"] == (1000 if k >= 1000 else k // 2 * 2)
+        assert len(r["passages"]) == 1 and r["passages"][0]["a"] <= 120 and r["passages"][0]["b"] >= 171
+
+
+def test_passage_candidates_are_complete():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, 91, dtype=np.uint32)
+    members = []
+    for i in range(60):
+        b = rng.integers(0, 1 << 32, 91, dtype=np.uint32)
+        first = int(rng.integers(0, 46))
+        b[first : first + 46] = base[first : first + 46]
+        lost = first + rng.choice(46, int(rng.integers(0, 7)), replace=False)
+        b[lost[lost != 45]] = rng.integers(0, 1 << 32, int((lost != 45).sum()), dtype=np.uint32)
+        members.append((7, i, -1, 45, b))
+    want = set()
+    for _, i, _, _, a in members:
+        covered = np.zeros(46, bool)
+        for _, j, _, _, b in members:
+            if i != j:
+                covered |= passages.alike(a, b)[0]
+        want |= {(i, s) for s in np.nonzero(covered)[0].tolist()}
+    got = {(s, x) for _, s, a, b, _ in passages._verified(members) for x in range(a, b - 46 + 2)}
+    assert got == want and want

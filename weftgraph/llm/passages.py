@@ -13,9 +13,11 @@ from .components import connected_components
 
 #: Words of a shingle, shingles of the shortest passage (50 words), least Jaccard similarity, hash functions.
 WORDS, SHORTEST, SIMILAR, FUNCTIONS = 5, 46, 0.8, 2
-#: Further hash functions that must agree somewhere before two passages are compared; contexts of a value from which they are dealt out by them.
-SECOND, HOT = 3, 300
-_SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) & (1 << 64) - 1) for k in range(FUNCTIONS + SECOND)]
+#: Contexts of a value in a block; values with more are dealt out as pairs of blocks.
+HOT = 2048
+#: Contexts of a value up to which all are compared without an index.
+FEW = 4
+_SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) & (1 << 64) - 1) for k in range(FUNCTIONS)]
 
 
 def _mixed(x: np.ndarray, seed: np.uint64) -> np.ndarray:
@@ -129,63 +131,91 @@ def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _covered(a, np.sort(b)), _covered(b, np.sort(a))
 
 
-def _minima(bodies: list[np.ndarray]) -> np.ndarray:
-    """The further min-hashes of each context: (contexts, SECOND)."""
-    wide = np.concatenate(bodies).astype(np.uint64)
-    begin = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))[:-1]
-    return np.stack([np.minimum.reduceat(_mixed(wide, _SEEDS[FUNCTIONS + k]), begin) for k in range(SECOND)], axis=1)
+#: Of a stretch, one side of its centre (the centre included) has at least so many shingles.
+_HALF = SHORTEST // 2 + 1
 
 
-def _verified(members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
-    """Of contexts (value, content, shingles): those verified, as value, content, first and last shingle, class.
+def _enough(hit: np.ndarray) -> np.ndarray:
+    """Which SHORTEST-long stretches have enough hits."""
+    n = np.concatenate(([0], np.cumsum(hit, dtype=np.int64)))
+    return n[SHORTEST:] - n[:-SHORTEST] >= _NEED
 
-    A context is compared, once each, with the leaders of the contexts that share a
-    further min-hash with it, and becomes a leader itself where none is alike.
+
+def _candidates(bodies: list[np.ndarray], centres: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context: which of its stretches others may cover, and all contexts that may cover any.
+
+    A covered stretch holds the _HALF shingles on one side of the centre and lacks at
+    most SHORTEST - _NEED of its own in the other context. So of any SHORTEST - _NEED + 1
+    of that side the other has one: those are looked up that the fewest contexts hold.
+    """
+    n = len(bodies)
+    sizes = [len(b) for b in bodies]
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    values, ids = np.unique(np.concatenate(bodies), return_inverse=True)
+    pairs = np.unique(ids.astype(np.int64) * n + np.repeat(np.arange(n), sizes))
+    holder = pairs % n
+    held = np.bincount(pairs // n, minlength=len(values))
+    at = np.concatenate(([0], np.cumsum(held)))
+    every = _enough(held[ids] > 1)
+    out = []
+    for i in range(n):
+        possible = every[begin[i] : begin[i + 1] - SHORTEST + 1]
+        found = [holder[:0]]
+        if possible.any():
+            mine = ids[begin[i] : begin[i + 1]]
+            c = centres[i]
+            for side in (mine[c : c + _HALF], mine[max(0, c - _HALF + 1) : c + 1]):
+                if len(side) == _HALF:
+                    rare = side[np.argsort(held[side], kind="stable")[: SHORTEST - _NEED + 1]]
+                    found += [holder[at[k] : at[k + 1]] for k in rare.tolist() if held[k] > 1]
+        out.append((possible, np.unique(np.concatenate(found)) if len(found) > 1 else found[0]))
+    return out
+
+
+def _verified(members: list[tuple[int, int, int, int, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
+    """Of contexts (value, content, block, centre, shingles): those verified, as value, content, first and last shingle, class.
+
+    Each context is held against every other that may cover a stretch of it, save
+    where that can tell nothing new: its stretches are settled and the other is in
+    its class already. Blocks 0 and 1 are compared across only, others with all.
     """
     n = len(members)
-    flags: list[np.ndarray | None] = [None] * n
+    bodies = [m[4] for m in members]
     ordered: list[np.ndarray | None] = [None] * n
-    parent = list(range(n))
-
-    def top(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def sorted_of(i):
-        if ordered[i] is None:
-            ordered[i] = np.sort(members[i][2])
-        return ordered[i]
-
-    leaders: dict[tuple, list[int]] = {}
-    for i, least in enumerate(_minima([m[2] for m in members]).tolist()):
-        sh = members[i][2]
-        tried: dict[int, bool] = {}
-        for k, value in enumerate(least):
-            mine = leaders.setdefault((k, value), [])
-            found = False
-            for j in mine:
-                if j not in tried:
-                    x = _covered(sh, sorted_of(j))
-                    tried[j] = bool(x.any())
-                    if tried[j]:
-                        y = _covered(members[j][2], sorted_of(i))
-                        flags[i] = x if flags[i] is None else flags[i] | x
-                        flags[j] = y if flags[j] is None else flags[j] | y
-                        a, b = top(i), top(j)
-                        parent[max(a, b)] = min(a, b)
-                if tried[j]:
-                    found = True
-                    break
-            if not found:
-                mine.append(i)
+    label = np.arange(n)
+    blocks = np.array([m[2] for m in members])
+    flags: list[np.ndarray] = []
+    index = _candidates(bodies, [m[3] for m in members]) if n > FEW else None
+    for i, sh in enumerate(bodies):
+        flagged = np.zeros(len(sh) - SHORTEST + 1, dtype=bool)
+        flags.append(flagged)
+        possible, others = index[i] if index else (~flagged, np.arange(n))
+        if not len(others):
+            continue
+        others = others[(others != i) & ((blocks[others] != blocks[i]) | (blocks[i] < 0))]
+        at, settled = 0, False
+        while at < len(others):
+            j = int(others[at])
+            at += 1
+            if ordered[j] is None:
+                ordered[j] = np.sort(bodies[j])
+            x = _covered(sh, ordered[j])
+            if not x.any():
+                continue
+            flagged |= x
+            a, b = label[i], label[j]
+            if a != b:
+                label[label == max(a, b)] = min(a, b)
+            settled = settled or bool((flagged >= possible).all())
+            if settled:
+                others, at = others[at:], 0
+                others = others[label[others] != label[i]]
     out = []
-    for i, (h, s, _) in enumerate(members):
-        if flags[i] is None:
+    for i, (h, s, *_) in enumerate(members):
+        if not flags[i].any():
             continue
         d = np.diff(np.concatenate(([0], flags[i].view(np.int8), [0])))
-        root = members[top(i)]
+        root = members[label[i]]
         name = xxhash.xxh64_intdigest(f"{root[0]},{root[1]}") >> 2
         for a, b in zip(np.nonzero(d == 1)[0].tolist(), np.nonzero(d == -1)[0].tolist()):
             out.append((h, s, a, b + SHORTEST - 2, name))
@@ -193,35 +223,43 @@ def _verified(members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int
 
 
 def _contexts(asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """The shingles of the asked windows, keyed so that contexts which may be alike meet."""
-    by_doc = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "lo", "hi", "hot")).alias("asked"))
+    """The shingles of the asked windows; those of a value in ``blocks`` blocks go to each pair that theirs is in."""
+    by_doc = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "c", "lo", "hi", "blocks")).alias("asked"))
     rows = by_doc.join(texts, "rid").select("asked", "packed")
+    names = ["k", "h", "s", "block", "centre"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def made(rows):
+        *plain, body = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(plain, kinds)] + [pa.array(body, pa.binary())], [*names, "body"])
 
     def run(batches):
+        out = []
         for batch in batches:
-            k, h, s, body = [], [], [], []
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
                 sh = np.frombuffer(r["packed"], dtype=np.uint32)
                 for q in r["asked"]:
-                    mine = sh[q["lo"] : q["hi"] + 1]
-                    codes = [q["h"]]
-                    if q["hot"]:
-                        wide = mine.astype(np.uint64)
-                        least = [int(_mixed(wide, _SEEDS[FUNCTIONS + x]).min()) for x in range(SECOND)]
-                        codes = [xxhash.xxh64_intdigest(f"{q['h']},{x},{m}") - (1 << 63) for x, m in enumerate(least)]
-                    for code in codes:
-                        k.append(code)
-                        h.append(q["h"])
-                        s.append(q["s"])
-                        body.append(mine.tobytes())
-                if len(k) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, h, s)] + [pa.array(body, pa.binary())], ["k", "h", "s", "body"])
-                    k, h, s, body = [], [], [], []
-            if k:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, h, s)] + [pa.array(body, pa.binary())], ["k", "h", "s", "body"])
-
-    return rows.mapInArrow(run, "k long, h long, s long, body binary")
+                    body = sh[q["lo"] : q["hi"] + 1].tobytes()
+                    row = (q["h"], q["s"])
+                    centre, n = q["c"] - q["lo"], q["blocks"]
+                    if n == 1:
+                        out.append((q["h"], *row, -1, centre, body))
+                    else:
+                        mine = q["s"] % n
+                        for other in range(n):
+                            code = xxhash.xxh64_intdigest(f"{q['h']},{min(mine, other)},{max(mine, other)}") - (1 << 63)
+                            out.append((code, *row, -1 if mine == other else int(mine > other), centre, body))
+                            if len(out) > 20_000:
+                                yield made(out)
+                                out = []
+                if len(out) > 20_000:
+                    yield made(out)
+                    out = []
+        if out:
+            yield made(out)
+
+    return rows.mapInArrow(run, "k long, h long, s long, block int, centre int, body binary")
 
 
 def _compared(contexts: DataFrame) -> DataFrame:
@@ -229,9 +267,10 @@ def _compared(contexts: DataFrame) -> DataFrame:
 
     def run(batches):
         out = []
-        for _, g in groups(batches, ["k"], ["h", "s", "body"]):
+        for _, g in groups(batches, ["k"], ["h", "s", "block", "centre", "body"]):
             if len(g["h"]) > 1:
-                out += _verified([(int(h), int(s), np.frombuffer(b, dtype=np.uint32)) for h, s, b in zip(g["h"], g["s"], g["body"])])
+                plain = zip(*(g[c].tolist() for c in ("h", "s", "block", "centre")))
+                out += _verified([(*x, np.frombuffer(b, dtype=np.uint32)) for x, b in zip(plain, g["body"])])
             if len(out) > 20_000:
                 yield _batch(out)
                 out = []
@@ -265,10 +304,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     every = prepared.select("rid", F.explode("windows").alias("x")).select("rid", "x.*")
     common = every.groupBy("h").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("h")
     shared, shared_path = cut(every.join(common, "h"))
-    distinct = shared.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("r"))
+    distinct = shared.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "c", "lo", "hi")).alias("r"))
     kinds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
     distinct, _ = cut(distinct.join(kinds, "h"))
-    asked = distinct.where("kinds > 1").select("h", "s", "r.*", (F.col("kinds") > HOT).alias("hot"))
+    asked = distinct.where("kinds > 1").select("h", "s", "r.*", F.ceil(F.col("kinds") / max(HOT, 1)).cast("int").alias("blocks"))
     near = _compared(_contexts(asked, prepared.select("rid", "packed")))
     same = distinct.where("n > 1").select(
         "h", "s", F.lit(0).alias("a"), (F.col("r.hi") - F.col("r.lo")).alias("b"), F.shiftright(F.xxhash64("h", "s"), 2).alias("class")
