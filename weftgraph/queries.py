@@ -437,6 +437,25 @@ _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 }
 
 
+#: What the bounded queries leave out of text and twin (in turn) to run over whole tables, as ``<name>_whole``.
+_BOUNDS: dict[str, list[tuple[str, str]]] = {
+    "rel_type_alternatives": [(" WHERE o.o_orderkey < 50", ""), (" WHERE o_orderkey < 50", "")],
+    "untyped_rel": [(" WHERE o.o_orderkey < 50", ""), (" WHERE o_orderkey < 50", "")],
+    "comma_shared": [(" WHERE o.o_orderkey < 20", ""), (" WHERE a.l_orderkey < 20", "")],
+    "named_path": [(" WHERE o.o_orderkey < 30", ""), (" WHERE o_orderkey < 30", "")],
+    "optional_correlated": [(" WHERE c.c_custkey < 60", ""), (" WHERE c_custkey < 60", "")],
+    "call_subquery": [(" WHERE c.c_custkey < 40", ""), (" WHERE c_custkey < 40", "")],
+    "arithmetic": [(" WHERE o.o_orderkey < 200", ""), (" WHERE o_orderkey < 200", "")],
+    "fn_graph": [(" WHERE o.o_orderkey < 20", ""), (" WHERE o_orderkey < 20", "")],
+    "fn_text": [(" WHERE c.c_custkey < 100", ""), (" WHERE c_custkey < 100", "")],
+    "fn_unicode": [(" AND d.doc_id < 300", ""), (" AND doc_id < 300", "")],
+    "fn_math": [(" WHERE c.c_custkey < 200", ""), (" WHERE c_custkey < 200", "")],
+    # Every vector against vector 0.
+    "fn_similarity": [("a.vec_id < 10 AND b.vec_id < 10", "b.vec_id = 0"), ("a.vec_id < 10 AND b.vec_id < 10", "b.vec_id = 0")],
+}
+_CYPHER |= {f"{n}_whole": tuple(t.replace(*b) for t, b in zip(_CYPHER[n], bounds)) for n, bounds in _BOUNDS.items()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(_cypher, text, _PARAMS.get(n, {})) for n, (text, _) in _CYPHER.items()}
     return out | {n: f for n, (f, _) in _OTHERS.items()}
