@@ -459,3 +459,13 @@ def test_passage_candidates_are_complete():
         want |= {(i, s) for s in np.nonzero(covered)[0].tolist()}
     got = {(s, x) for _, s, a, b, _ in passages._verified(members) for x in range(a, b - 46 + 2)}
     assert got == want and want
+
+
+def test_simhash_keeps_one_row_of_each_component(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 80, 10**6) for _ in range(4))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "y"), (7, c, "x"), (7, d, "x"), (7, d, "x"), (9, a + " end", "x")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert kept.columns == ["doc_id", "text", "source"]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert got == sorted([(0, b), (7, c), (7, d), (9, a + " end")])

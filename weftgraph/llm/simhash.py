@@ -166,6 +166,17 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A row for each document: ``_key``, ``fp``, two hashes of the text, the component's ``root`` (a fingerprint) and ``component_id``."""
+    slim = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(7), F.col(text)).alias("_h2"), F.col(text).alias("_text"))
+    rows, _ = cut(fingerprints(slim, "_text", keep_text=False))
+    fps = rows.groupBy("fp").agg(F.min("_key").alias("least"))
+    roots = connected_components(links(fps.select("fp")))
+    labelled = fps.join(roots, fps["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(labelled.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's key, ``fp`` and ``component_id``: the smallest key it reaches over links.
 
@@ -173,23 +184,24 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     without words have fingerprint 0 and link like any other. A null key never is a
     component's id unless the whole component has none. Repeated rows each get a row.
     """
-    rows, _ = cut(fingerprints(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", keep_text=False))
-    fps = rows.groupBy("fp").agg(F.min("_key").alias("least"))
-    roots = connected_components(links(fps.select("fp")))
-    labelled = fps.join(roots, fps["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(least, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("_key").alias(key), "fp", "component_id")
+    return _labelled(docs, key, text).select(F.col("_key").alias(key), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: the one with the smallest key (of rows that share it, one).
 
-    Only keys are compared with the components; texts are shuffled once, by key.
+    Rows are told apart by key and content, so components whose documents have no
+    key, or share one, each keep theirs. Only keys and hashes are compared with the
+    components; texts are shuffled once, by them.
     """
-    found, _ = cut(components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
-    kept = found.select(F.col(key).alias("_kept"))
-    out = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
-    if found.where("_n > 1").isEmpty():
-        return out
-    return out.dropDuplicates([key])
+    row = ["_key", "_h1", "_h2"]
+    rows = _labelled(docs, key, text).where(F.col("_key").eqNullSafe(F.col("component_id")))
+    least = rows.groupBy("root").agg(F.min(F.struct("_h1", "_h2")).alias("x"), F.first("_key").alias("_key"), F.count(F.lit(1)).alias("_n"))
+    found, _ = cut(least.select("_key", "x.*", "_n"))
+    kept = found.select(*[F.col(n).alias("k" + n) for n in row])
+    names = docs.columns
+    out = docs.withColumns({"_key": F.col(key), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), F.col(text))})
+    out = out.join(kept, [out[n].eqNullSafe(kept["k" + n]) for n in row], "left_semi")
+    if not found.where("_n > 1").isEmpty():
+        out = out.dropDuplicates(row)
+    return out.select(*[F.col(f"`{c}`") for c in names])
