@@ -11,7 +11,7 @@ ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: Weak parts: what may be a key, if an access identifier is near, and where it may be used.
-WEAK_KEY = r"(?<![A-Za-z0-9+/_-])(?!AKIA[A-Z0-9]{12})(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/=_-])"
+WEAK_KEY = r"(?<![A-Za-z0-9+/_-])(?!AKIA[A-Z0-9]{12})(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z0-9]+|postgres|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{4,}"""
 #: Parts link within this many code points.
 SCOPE = 200
