@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from hashlib import sha256
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 import tokenizers
@@ -16,12 +19,16 @@ from pyspark.sql import types as T
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
-_SPACES = re.compile(f"[{_SPACE}]+")
-#: Separators that Python splits at and the vocabulary's pattern does not.
-_ODD = re.compile("[\x1c-\x1f]")
 #: Characters on whose class or case the versions of Unicode in use may differ.
 _UNSURE = re.compile("[^\x00-\u0557\u1e00-\u1fff\u2010-\u205f\u20a0-\u20bf\u2100-\u218b\u2190-\u23ff\u2500-\u2b4f\u3000-\u312f\u4e00-\u9fa5\uac00-\ud7a3]")
 _END = "￿"
+#: In front of a piece: not a plain word.
+_MARK = "\n"
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: Bytes of a word up to which words are encoded together; characters of texts taken together; slots (as a power of 2) for pairs.
+LONGEST, TOGETHER, _SLOTS = 64, 1 << 20, 20
+#: Least number of places in the automaton for a byte to have a column in its table; words with others are encoded one by one.
+COMMON = 8
 _NEVER = 1 << 60
 _START = 1 << 40
 
@@ -44,7 +51,7 @@ class WordBpe:
     from the end gives the encoding; nothing is searched or merged.
     """
 
-    def __init__(self, spec: dict, cache: int = 50_000):
+    def __init__(self, spec: dict, cache: int = 150_000):
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -65,8 +72,10 @@ class WordBpe:
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
         self._fits: dict[int, bool] = {}
-        self.cache_size, self.cache, self.words = cache, {}, {}
-        self.old_cache, self.old_words = {}, {}
+        self.cache_size, self.cache = cache, {}
+        self.numbers = {i: str(i) for i in self.tokens}
+        self.byte_of = {c: b for b, c in enumerate(self.letters)}
+        keys: list[tuple[str, int]] = []
         self.automaton = ahocorasick.Automaton()
         for text, i in self.vocab.items():
             if i in self.parts:
@@ -81,7 +90,11 @@ class WordBpe:
                 continue
             key = body + _END if ends else body
             self.automaton.add_word(key, (i, len(key)))
+            keys.append((key, i))
         self.automaton.make_automaton()
+        self.tables = self._tables(keys)
+        self.met = np.zeros(1 << _SLOTS, dtype=np.uint64), np.zeros(1 << _SLOTS, dtype=bool)
+        self.met[0].fill(np.iinfo(np.uint64).max)
         self._spec, self._library = json.dumps(spec), None
 
     @property
@@ -91,6 +104,48 @@ class WordBpe:
             self._library = tokenizers.Tokenizer.from_str(self._spec)
         return self._library
 
+    def _tables(self, keys: list[tuple[str, int]]) -> tuple:
+        """The automaton of the tokens as arrays: steps, and for each state the tokens that end there, longest first."""
+        byte_of = self.byte_of | {_END: 256}
+        moves, token, depth = [{}], [-1], [0]
+        for key, i in keys:
+            at = 0
+            for c in key:
+                nxt = moves[at].get(c)
+                if nxt is None:
+                    nxt = moves[at][c] = len(moves)
+                    moves.append({})
+                    token.append(-1)
+                    depth.append(depth[at] + 1)
+                at = nxt
+            token[at] = i
+        held = Counter(c for m in moves for c in m)
+        used = sorted(c for c in held if held[c] >= COMMON or c == _END)
+        symbol = np.zeros(257, dtype=np.int64)  # 0: a byte that few tokens have
+        for k, c in enumerate(used):
+            symbol[byte_of[c]] = k + 1
+        number = {c: k + 1 for k, c in enumerate(used)}
+        rare = bytes(b for b in range(256) if not symbol[b])
+        n, width = len(moves), len(used) + 1
+        step = np.zeros((n, width), dtype=np.int32)
+        fail = np.zeros(n, dtype=np.int32)
+        token_at, size_at = np.array(token, dtype=np.int32), np.array(depth, dtype=np.int64)
+        first, shorter = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        level = np.array([0])
+        while len(level):
+            if level[0]:
+                step[level] = step[fail[level]]
+                shorter[level] = first[fail[level]]
+                first[level] = np.where(token_at[level] >= 0, level, shorter[level])
+            edges = [(s, number[c], t) for s in level.tolist() for c, t in moves[s].items() if c in number]
+            if not edges:
+                break
+            s, c, t = np.array(edges).T
+            fail[t] = np.where(s == 0, 0, step[s, c])
+            step[s, c] = t
+            level = t
+        return step.ravel(), width, first, token_at, size_at, shorter, symbol, re.compile(b"[" + re.escape(rare) + b"]") if rare else re.compile(b"(?!)")
+
     def _settle(self, token: int, made: list[tuple[int, int, int]]) -> bool:
         """Of several merges that give one token, keep the one that is really reached."""
         for r, a, b in made:
@@ -169,56 +224,166 @@ class WordBpe:
         out.reverse()
         return out
 
-    def _keep(self, key: str, ids: list[int]) -> tuple[list[int], str, str]:
-        found = ids, " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
-        if len(self.cache) >= self.cache_size:
-            # What is used again moves on; the rest is forgotten with the generation after next.
-            self.old_cache = dict(self.cache)
-            self.cache.clear()
-        self.cache[key] = found
-        return found
-
-    def _chunk(self, chunk: str) -> tuple[list[int], str, str]:
-        """A stretch without white space, in lower case."""
-        found = self.old_cache.get(chunk)
-        if found is not None:
-            self.cache[chunk] = found
-            return found
-        if chunk.isalpha():
-            return self._keep(chunk, self.word(chunk))
-        if len(self.words) >= self.cache_size:
-            self.old_words = dict(self.words)
-            self.words.clear()
-        words, out = self.words, []
-        for w in _WORDS.findall(chunk):
-            ids = words.get(w)
-            if ids is None:
-                ids = words[w] = self.old_words.get(w) or self.word(w)
-            out += ids
-        return self._keep(chunk, out)
-
-    def entries(self, text: str) -> list[tuple[list[int], str, str]]:
-        """Ids, ids as text and tokens as text of each stretch of ``text``."""
-        out: list[tuple[list[int], str, str]] = []
-        get, chunk = self.cache.get, self._chunk
+    def _pieces(self, text: str) -> list[str]:
+        """The words of a text, in lower case; special tokens and words cut by the library bear a mark in front."""
+        out: list[str] = []
         for piece in self.split_special.split(text) if self.split_special and "<" in text else [text]:
             if piece in self.special:
-                i = self.special[piece]
-                out.append(([i], str(i), piece))
-                continue
-            if not piece.isascii():
-                if _UNSURE.search(piece):
-                    words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
-                    out.extend([self._keep("\n" + w, self.word(w, True)) for w, _ in words])
-                    continue
-                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-            piece = piece.lower()
-            chunks = _SPACES.split(piece) if _ODD.search(piece) else piece.split()
-            out.extend([get(c) or chunk(c) for c in chunks if c])
-        return [e for e in out if e[0]]
+                out.append(_MARK + piece)
+            elif piece.isascii():
+                out += _ASCII_WORDS.findall(piece.lower())
+            elif _UNSURE.search(piece):
+                words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+                out += [_MARK + w for w, _ in words]
+            else:
+                out += _WORDS.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode the words and keep what they give."""
+        plain, raw = [], []
+        for w in words:
+            if w[0] != _MARK:
+                plain.append(w)
+                raw.append(w.encode())
+            elif w[1:] in self.special:
+                self._kept(w, [self.special[w[1:]]])
+            else:
+                plain.append(w)
+                raw.append(bytes(map(self.byte_of.__getitem__, w[1:])))
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        long = sizes > LONGEST  # and those with rare bytes
+        at = np.fromiter((m.start() for m in self.tables[-1].finditer(b"".join(raw))), dtype=np.int64)
+        long[np.searchsorted(np.cumsum(sizes), at, side="right")] = True
+        for k in np.nonzero(long)[0].tolist():
+            w = plain[k]
+            self._kept(w, self.word(w[1:], True) if w[0] == _MARK else self.word(w))
+        if long.any():
+            fit = np.nonzero(~long)[0].tolist()
+            plain, raw, sizes = [plain[k] for k in fit], [raw[k] for k in fit], sizes[~long]
+        if plain:
+            flat, ends = self._together(raw, sizes)
+            ids, at = flat.tolist(), 0
+            for w, end in zip(plain, ends.tolist()):
+                self._kept(w, ids[at:end])
+                at = end
+
+    def _kept(self, word: str, ids: list[int]) -> None:
+        numbers, tokens = self.numbers, self.tokens
+        if len(ids) == 1:
+            self.cache[word] = 1, numbers[ids[0]], tokens[ids[0]]
+        elif ids:
+            self.cache[word] = len(ids), " ".join([numbers[i] for i in ids]), " ".join([tokens[i] for i in ids])
+        else:
+            self.cache[word] = None
+
+    def _together(self, raw: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, one after the other, and where each word's end.
+
+        The pass of :meth:`word` over all words at once, prefix by prefix: their states
+        in the automaton step together, and the tokens that end at the prefix are tried
+        from the longest on for the words that have none yet.
+        """
+        step, width, first, token_at, size_at, shorter, symbol, _ = self.tables
+        n = len(raw)
+        order = np.argsort(-sizes, kind="stable")
+        length = sizes[order]
+        longest = int(length[0])
+        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))[order]
+        flat = np.frombuffer(b"".join(raw) + b"\0", dtype=np.uint8)
+        last = np.zeros((longest + 2, n), dtype=np.int32)
+        back = np.zeros((longest + 2, n), dtype=np.int16)
+        last[0] = -1  # the start of a word
+        state = np.zeros(n, dtype=np.int64)
+        tail = bool(self.end)
+        total = length + tail
+        count = np.searchsorted(-total, -np.arange(1, longest + tail + 1), side="right")
+        for t, m in enumerate(count.tolist()):
+            c = symbol[flat[np.minimum(begin[:m] + t, len(flat) - 1)]]
+            if tail:
+                c[length[:m] == t] = symbol[256]
+            now = step[state[:m] * width + c]
+            state[:m] = now
+            node = first[now]
+            who = np.nonzero(node)[0]
+            node = node[who]
+            while len(who):
+                token = token_at[node]
+                start = t + 1 - size_at[node]
+                before = last[start, who]
+                good = before == -1
+                test = np.nonzero(before > 0)[0]
+                if len(test):
+                    good[test] = self._fit_all(before[test] - 1, token[test])
+                won = who[good]
+                last[t + 1, won] = token[good] + 1
+                back[t + 1, won] = start[good]
+                bad = ~good
+                node = shorter[node[bad]]
+                who = who[bad]
+                some = node > 0
+                node, who = node[some], who[some]
+        ids, owners = [], []
+        who, at = np.arange(n), total.copy()
+        while len(who):
+            found = last[at, who]
+            if (found <= 0).any():
+                raise ValueError("a byte is missing from the vocabulary")
+            ids.append(found - 1)
+            owners.append(order[who])
+            at = back[at, who].astype(np.int64)
+            more = at > 0
+            who, at = who[more], at[more]
+        owners, ids = np.concatenate(owners[::-1]), np.concatenate(ids[::-1])
+        by = np.argsort(owners, kind="stable")
+        return ids[by], np.cumsum(np.bincount(owners, minlength=n))
+
+    def _fit_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`fits` of many pairs, through a table of those met before."""
+        keys, values = self.met
+        key = a.astype(np.uint64) << np.uint64(20) | b.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
+        out = values[slot]
+        new = np.nonzero(keys[slot] != key)[0]
+        if len(new):
+            pairs, inverse = np.unique(key[new], return_inverse=True)
+            found = np.fromiter((self.fits(k >> 20, k & 0xFFFFF) for k in pairs.tolist()), dtype=bool, count=len(pairs))
+            out[new] = found[inverse]
+            keys[slot[new]] = key[new]
+            values[slot[new]] = out[new]
+            # Two pairs of one slot: what stands there must belong together.
+            clash = keys[slot[new]] == key[new]
+            values[slot[new][clash]] = out[new][clash]
+        return out
+
+    def encoded(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, str]]]:
+        """For each text its words' number of ids, ids as text and tokens as text.
+
+        New words of some texts are encoded together; how many texts those are depends
+        on their length, and what is kept of words is dropped beyond a bound.
+        """
+        at = 0
+        while at < len(texts):
+            words, size = [], 0
+            while at < len(texts) and size < TOGETHER:
+                t = texts[at] or ""
+                words.append(self._pieces(t))
+                size += len(t)
+                at += 1
+            if len(self.cache) > self.cache_size:
+                self.cache.clear()
+            new = set().union(*words)
+            new.difference_update(self.cache)
+            if new:
+                self._learn(list(new))
+            get = self.cache.__getitem__
+            for w in words:
+                found = list(map(get, w))
+                yield found if None not in found else [f for f in found if f]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.entries(text) for i in ids]
+        return [int(i) for _, ids, _ in next(self.encoded([text])) for i in ids.split()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, special ones kept; ids outside the vocabulary are left out."""
@@ -263,7 +428,13 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
         model = _model(key, spec)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            made = pa.array([model.encode(t or "") for t in texts], pa.list_(pa.int32()))
+            numbers, counts = [], [0]
+            for found in model.encoded(texts):
+                own = " ".join([f[1] for f in found])
+                numbers.append(np.array(own.split(), dtype=np.int32))
+                counts.append(counts[-1] + len(numbers[-1]))
+            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+            made = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, ids])
 
     return df.mapInArrow(run, schema)
@@ -299,9 +470,8 @@ def digests(df: DataFrame, path: str, key_column: str = "doc_id", text: str = "t
         model = _model(key, spec)
         for batch in batches:
             counts, first, second = [], [], []
-            for t in batch.column(1).to_pylist():
-                found = model.entries(t or "")
-                counts.append(sum(map(len, [f[0] for f in found])))
+            for found in model.encoded(batch.column(1).to_pylist()):
+                counts.append(sum([f[0] for f in found]))
                 first.append(sha256(" ".join([f[1] for f in found]).encode()).hexdigest())
                 second.append(sha256(" ".join([f[2] for f in found]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
