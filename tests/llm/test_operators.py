@@ -63,6 +63,20 @@ def test_components(spark):
     assert {x for p in pairs if p[0] != p[1] for x in p} == set(got)
 
 
+def test_components_of_many_edges(spark):
+    """A million loose pairs, a star of 200,000 and a path."""
+    n = F.col("id")
+    pairs = spark.range(1_000_000).select((10**9 + 2 * n).alias("a"), (10**9 + 2 * n + 1).alias("b"))
+    star = spark.range(1, 200_000).select(F.lit(0).cast("long").alias("a"), n.alias("b"))
+    path = spark.range(1000).select((10**8 + n).alias("a"), (10**8 + n + 1).alias("b"))
+    assert connected_components(pairs).groupBy("root").count().where("count = 2").count() == 1_000_000
+    sizes = connected_components(star.unionByName(path)).groupBy("root").count()
+    assert sorted(map(tuple, sizes.collect())) == [(0, 200_000), (10**8, 1001)]
+    assert connected_components(pairs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None), (None, 2), (3, 3), (5, 4), (4, 5)], "a long, b long")
+    assert sorted(map(tuple, connected_components(odd).collect())) == [(4, 4), (5, 4)]
+
+
 def test_mixing_counts_and_columns(spark, docs, none):
     rows = mixing.mix(docs, weights={"a": 3.0, "b": 1.0}, seed=4).collect()
     assert {r["source"] for r in rows} <= {"a", "b"}

@@ -29,11 +29,10 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.shiftrightunsigned(F.xxhash64("a", "b"), 16)).alias("h"),
-    ).first()
-    return row["n"], row["h"]
+    """Count, sum and exclusive or of the rows' hashes; the sum is a decimal, so no number of rows overflows it."""
+    h = F.xxhash64("a", "b")
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
+    return row["n"], row["s"], row["x"]
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
