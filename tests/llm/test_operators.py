@@ -453,26 +453,96 @@ def test_passages_short_in_unlike_surroundings(spark, hot, monkeypatch):
         assert len(r["passages"]) == 1 and r["passages"][0]["a"] <= 120 and r["passages"][0]["b"] >= 171
 
 
-def test_passage_candidates_are_complete():
+def test_passages_are_verified_like_all_pairs():
+    """Flags and classes of contexts held against leaders are those of all pairs."""
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 32, 91, dtype=np.uint32)
-    members = []
-    for i in range(60):
-        b = rng.integers(0, 1 << 32, 91, dtype=np.uint32)
-        first = int(rng.integers(0, 46))
-        b[first : first + 46] = base[first : first + 46]
-        lost = first + rng.choice(46, int(rng.integers(0, 7)), replace=False)
-        b[lost[lost != 45]] = rng.integers(0, 1 << 32, int((lost != 45).sum()), dtype=np.uint32)
-        members.append((7, i, -1, 45, b))
-    want = set()
-    for _, i, _, _, a in members:
-        covered = np.zeros(46, bool)
-        for _, j, _, _, b in members:
-            if i != j:
-                covered |= passages.alike(a, b)[0]
-        want |= {(i, s) for s in np.nonzero(covered)[0].tolist()}
-    got = {(s, x) for _, s, a, b, _ in passages._verified(members) for x in range(a, b - 46 + 2)}
-    assert got == want and want
+
+    def fresh(k):
+        return rng.integers(0, 1 << 32, k, dtype=np.uint32)
+
+    group, centres, bodies = [], [], []
+    for g in range(12):
+        bases = [fresh(91) for _ in range(1 + g % 3)]
+        for i in range([2, 3, 60][g % 3]):
+            b, base = fresh(91), bases[int(rng.integers(len(bases)))]
+            first = int(rng.integers(0, 46))
+            b[first : first + 46] = base[first : first + 46]
+            lost = first + rng.choice(46, int(rng.integers(0, 8)), replace=False)
+            b[lost] = fresh(len(lost))
+            b[45] = base[45]
+            if i % 4 == 1:  # a word more
+                b[50:91] = np.concatenate([fresh(5), b[50:86]])
+            if i % 7 == 2:
+                b[:] = base
+            if i % 11 == 3:
+                b[:] = 5
+            lo, hi = (0, 91) if i % 5 else (10, 80)
+            group.append(g)
+            centres.append(45 - lo)
+            bodies.append(b[lo:hi])
+    n = len(bodies)
+    flags, label = passages._verified(np.array(group), np.array(centres), bodies)
+    sure, most = np.zeros_like(flags), np.zeros_like(flags)
+    tops = [list(range(n)), list(range(n))]
+    for i in range(n):
+        for j in range(n):
+            if i != j and group[i] == group[j]:
+                x, y = passages.alike(bodies[i], bodies[j])
+                shift = 45 - centres[i]
+                most[i, shift : shift + len(x)] |= x
+                both = np.zeros(len(x), dtype=bool)  # stretches that a stretch of the other matches
+                for p in np.nonzero(x)[0]:
+                    have = np.isin(bodies[j], bodies[i][p : p + 46])
+                    both[p] = (np.convolve(have, np.ones(46), "valid") >= 41).any()
+                sure[i, shift : shift + len(x)] |= both
+                for k, linked in enumerate((both.any(), x.any() or y.any())):
+                    if linked:
+                        a, b = min(tops[k][i], tops[k][j]), max(tops[k][i], tops[k][j])
+                        tops[k] = [a if t == b else t for t in tops[k]]
+    assert (flags >= sure).all() and (flags <= most).all() and sure.any() and not most.all()
+    assert (flags != sure).mean() < 0.02
+    for fine, coarse in ((tops[0], label.tolist()), (label.tolist(), tops[1])):
+        assert len(set(zip(fine, coarse))) == len(set(fine))
+
+
+@pytest.mark.parametrize("piece", [1 << 22, 8])
+def test_passages_windows_and_shingles_of_many_texts(piece, monkeypatch):
+    monkeypatch.setattr(passages, "_PIECE", piece)
+    rng = np.random.default_rng(1)
+    sh = rng.integers(0, 1 << 32, 1000, dtype=np.uint32)
+    sh[300:400], sh[500:600] = sh[100:200], 7
+    begin = np.array([0, 300, 330, 376, 376, 1000])
+    for j in range(passages.FUNCTIONS):
+        want = []
+        for a, b in zip(begin[:-1], begin[1:]):
+            v = passages._mixed(sh[a:b].astype(np.uint64), passages._SEEDS[j])
+            want += [(int(v[c].view(np.int64)) ^ j, a + c, a + max(x, c - 45), a + min(y, c + 45)) for x, c, y in passages.compact_windows(v)]
+        assert sorted(zip(*(x.tolist() for x in passages._all_windows(sh, begin, j)))) == sorted(want)
+    texts = ["a b c d e f g", None, "", "x y z", "one two three four five six", "A b  c\x1cd\u3000e", "É\xa0b c d e", "é b c d e f", " a b c d e ", "\u2003", "a b c d ef"]
+    made, at = passages._all_shingles(texts)
+    named = {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        assert at[i + 1] - at[i] == max(0, len(w) - 4)
+        for k, x in enumerate(made[at[i] : at[i + 1]].tolist()):
+            named.setdefault(x, set()).add(tuple(w[k : k + 5]))
+        assert made[at[i] : at[i + 1]].tolist() == passages.shingles(t).tolist()
+    assert all(len(x) == 1 for x in named.values()) and len(named) == len({next(iter(x)) for x in named.values()})
+
+
+def test_passages_at_the_least_similarity(spark):
+    """One word of 50 changed: 41 of 51 shingles are shared, a similarity of 0.804."""
+    rng = random.Random(13)
+    rows, clean = [], []
+    for i in range(300):
+        p = words(rng, 50, 10**6).split()
+        q = list(p)
+        q[rng.randrange(8, 42)] = "other"
+        rows += [(2 * i + k, words(rng, 60, 10**6) + " " + " ".join([p, q][k]) + " " + words(rng, 60, 10**6)) for k in range(2)]
+    clean = [(10_000 + i, words(rng, 200, 10**6)) for i in range(50)]
+    got = {r["doc_id"]: r["class_id"] for r in passages.find(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    assert sum(got.get(2 * i) == got.get(2 * i + 1) == 2 * i for i in range(300)) >= 285
+    assert max(got) < 10_000
 
 
 def test_simhash_keeps_one_row_of_each_component(spark):

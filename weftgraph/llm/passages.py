@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, forget, groups
 from .components import connected_components
+from .suffix_dedup import _least
+from .suffix_dedup import _tables as _powers
+from .vectors import _forest
 
 #: Words of a shingle, shingles of the shortest passage (50 words), least Jaccard similarity, hash functions.
 WORDS, SHORTEST, SIMILAR, FUNCTIONS = 5, 46, 0.8, 2
 #: Contexts of a value in a block; values with more are dealt out as pairs of blocks.
-HOT = 2048
-#: Contexts of a value up to which all are compared without an index.
-FEW = 4
+HOT = 4096
+#: Words prepared together; contexts verified together.
+TOGETHER, VERIFIED = 400_000, 8192
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) & (1 << 64) - 1) for k in range(FUNCTIONS)]
 
 
@@ -27,28 +33,40 @@ def _mixed(x: np.ndarray, seed: np.uint64) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-class _Words(dict):
-    """Hashes of words, kept up to a bound."""
-
-    def __missing__(self, word):
-        if len(self) > 300_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-def shingles(text: str, words: _Words) -> np.ndarray:
+#: White space beyond ASCII at which words are split, and that of ASCII.
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+_PIECE = 1 << 22
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of some UTF-8 text begins, and its hash, told from running sums of the bytes in pieces that end at white space."""
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    whole = np.frombuffer(data, dtype=np.uint8)
+    at = 0
+    while at < len(whole):
+        end = min(len(whole), at + _PIECE)
+        while end < len(whole) and not _SPACE[whole[end - 1]]:
+            more = np.nonzero(_SPACE[whole[end : end + _PIECE]])[0]
+            end = end + int(more[0]) + 1 if len(more) else min(len(whole), end + _PIECE)
+        x = whole[at:end]
+        n = len(x)
+        up, down = _powers(n + 1)
+        prefix = np.zeros(n + 1, dtype=np.uint64)
+        edge = np.diff(np.concatenate(([True], _SPACE[x], [True])).astype(np.int8))
+        a, b = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+        with np.errstate(over="ignore"):
+            np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
+            hashes.append(_mixed((prefix[b] - prefix[a]) * down[a], np.uint64(41)))
+        starts.append(a + at)
+        at = end
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def shingles(text: str | None) -> np.ndarray:
     """32-bit hashes of the five-word shingles of a text in lower case (none, if it has fewer words)."""
-    parts = text.lower().split()
-    n = len(parts) - WORDS + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint32)
-    w = np.fromiter(map(words.__getitem__, parts), dtype=np.uint64, count=len(parts))
-    x = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(WORDS):
-            x = x * np.uint64(0x100000001B3) + w[k : k + n]
-    return (_mixed(x, np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
+    return _all_shingles([text])[0]
 
 
 def compact_windows(values: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
@@ -70,44 +88,96 @@ def compact_windows(values: np.ndarray, shortest: int = SHORTEST) -> list[tuple[
     return out
 
 
+def _all_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shingles` of some texts, one after the other, and where each text's begin (and the last ones end)."""
+    plain = [t.lower() if t else "" for t in texts]
+    raw = [(t if t.isascii() else _WIDE.sub(" ", t)).encode("utf-8", "replace") for t in plain]
+    border = np.cumsum([0] + [len(r) + 1 for r in raw])
+    places, w = _word_hashes(b" ".join(raw))
+    sizes = np.diff(np.searchsorted(places, border))
+    n = max(0, len(w) - WORDS + 1)
+    x = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(WORDS):
+            x = x * np.uint64(0x100000001B3) + w[k : k + n]
+    own = np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n) >= WORDS  # those that do not run into the next text
+    counts = np.maximum(0, sizes - WORDS + 1)
+    return (_mixed(x[own], np.uint64(77)) >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(counts)))
+
+
+def _all_windows(sh: np.ndarray, begin: np.ndarray, j: int) -> tuple[np.ndarray, ...]:
+    """The compact windows of all texts under function ``j``: value, centre, first and last shingle that a SHORTEST-long stretch reaches.
+
+    The nodes of a text's Cartesian tree that span at least SHORTEST shingles are the
+    least ones of its stretches of that length, so running minima give them all at
+    once; what a node's stretches reach is its window cut to SHORTEST on either side.
+    """
+    v = _mixed(sh.astype(np.uint64), _SEEDS[j])
+    n = len(sh)
+    none = np.zeros(0, dtype=np.int64)
+    if n < SHORTEST:
+        return none, none, none, none
+    packed = (v >> np.uint64(26) << np.uint64(26)) | np.arange(n, dtype=np.uint64)
+    place = (_least(packed, SHORTEST) & np.uint64((1 << 26) - 1)).astype(np.int64)
+    starts = np.arange(len(place))
+    starts = starts[np.repeat(begin[1:], np.diff(begin))[: len(place)] - starts >= SHORTEST]
+    if not len(starts):
+        return none, none, none, none
+    centre = place[starts]
+    first = np.concatenate(([True], centre[1:] != centre[:-1]))
+    at = np.nonzero(first)[0]
+    last = np.concatenate((at[1:], [len(centre)])) - 1
+    return v[centre[at]].view(np.int64) ^ j, centre[at], starts[at], starts[last] + SHORTEST - 1
+
+
 def _prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each document: its shingles and its compact windows, each cut to what its centre can reach."""
+    """A row for each document: its shingles and its compact windows, each cut to what its centre can reach.
+
+    Of a window: value ``h``, content ``s`` and ``at``, the centre's place and the
+    reach to its left and right side by side (48, 6 and 6 bits).
+    """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
     kind = rows.schema["_key"].dataType.simpleString()
 
+    def made(part):
+        sh, begin = _all_shingles(part.column(1).to_pylist())
+        if len(sh) >= 1 << 26:
+            raise OverflowError("a text of over 67 million words")
+        n = len(sh)
+        up, down = _powers(n + 1)
+        prefix = np.zeros(n + 1, dtype=np.uint64)
+        columns = []
+        with np.errstate(over="ignore"):
+            np.cumsum((sh.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
+            for j in range(FUNCTIONS):
+                h, c, lo, hi = _all_windows(sh, begin, j)
+                content = (prefix[hi + 1] - prefix[lo]) * down[lo]
+                s = _mixed(content, np.uint64(0x1234567)) + _mixed(((c - lo) << 6 | (hi - c)).astype(np.uint64), np.uint64(99))
+                columns.append((h, s.view(np.int64), c, c - lo, hi - c))
+        h, s, c, left, right = (np.concatenate(x) for x in zip(*columns))
+        doc = np.searchsorted(begin, c, side="right") - 1
+        order = np.argsort(doc, kind="stable")
+        at = (c - begin[doc]) << 12 | left << 6 | right
+        structs = pa.StructArray.from_arrays([pa.array(x[order], pa.int64()) for x in (h, s, at)], ["h", "s", "at"])
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=part.num_rows)))).astype(np.int32)
+        packed = [sh[x:y].tobytes() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(2), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), structs)],
+            ["_key", "rid", "packed", "windows"],
+        )
+
     def run(batches):
-        words = _Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                part = batch.slice(at, 300)
-                packed, counts, fields = [], [0], [[], [], [], [], []]
-                for t in part.column(1).to_pylist():
-                    sh = shingles(t, words)
-                    packed.append(sh.tobytes())
-                    made = 0
-                    wide = sh.astype(np.uint64)
-                    for j in range(FUNCTIONS if len(sh) >= SHORTEST else 0):
-                        v = _mixed(wide, _SEEDS[j])
-                        for a, c, b in compact_windows(v):
-                            lo, hi = max(a, c - SHORTEST + 1), min(b, c + SHORTEST - 1)
-                            fields[0].append(int(v[c]) ^ j)
-                            fields[1].append(xxhash.xxh64_intdigest(sh[lo : hi + 1].tobytes(), c - lo))
-                            fields[2].append(c)
-                            fields[3].append(lo)
-                            fields[4].append(hi)
-                            made += 1
-                    counts.append(counts[-1] + made)
-                structs = pa.StructArray.from_arrays(
-                    [pa.array(np.array(f, dtype=np.uint64).view(np.int64)) for f in fields[:2]] + [pa.array(f, pa.int32()) for f in fields[2:]],
-                    ["h", "s", "c", "lo", "hi"],
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), structs)],
-                    ["_key", "rid", "packed", "windows"],
-                )
-
-    return rows.mapInArrow(run, f"_key {kind}, rid long, packed binary, windows array<struct<h:long,s:long,c:int,lo:int,hi:int>>")
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            a = 0
+            while a < batch.num_rows:
+                held = sizes[a - 1] if a else 0
+                b = max(a + 1, int(np.searchsorted(sizes, held + 6 * TOGETHER, side="right")))
+                yield made(batch.slice(a, b - a))
+                a = b
+
+    return rows.mapInArrow(run, f"_key {kind}, rid long, packed binary, windows array<struct<h:long,s:long,at:long>>")
 
 
 _NEED = int(np.ceil(2 * SHORTEST * SIMILAR / (1 + SIMILAR) - 1e-9))
@@ -131,159 +201,196 @@ def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _covered(a, np.sort(b)), _covered(b, np.sort(a))
 
 
-#: Of a stretch, one side of its centre (the centre included) has at least so many shingles.
-_HALF = SHORTEST // 2 + 1
+_SIDE = SHORTEST - 1  # shingles that a context has on either side of its centre, at most
+_WIDTH = 2 * _SIDE + 1
+#: Stand for cells without a shingle, in a context and in what it is held against.
+_NONE, _OTHER = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 
 
-def _enough(hit: np.ndarray) -> np.ndarray:
-    """Which SHORTEST-long stretches have enough hits."""
-    n = np.concatenate(([0], np.cumsum(hit, dtype=np.int64)))
-    return n[SHORTEST:] - n[:-SHORTEST] >= _NEED
+def _stretches(hit: np.ndarray) -> np.ndarray:
+    """For each row of cells: which SHORTEST-long stretches have enough hits."""
+    n = np.zeros((len(hit), _WIDTH + 1), dtype=np.int16)
+    np.cumsum(hit, axis=1, dtype=np.int16, out=n[:, 1:])
+    return n[:, SHORTEST:] - n[:, :-SHORTEST] >= _NEED
 
 
-def _candidates(bodies: list[np.ndarray], centres: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each context: which of its stretches others may cover, and all contexts that may cover any.
-
-    A covered stretch holds the _HALF shingles on one side of the centre and lacks at
-    most SHORTEST - _NEED of its own in the other context. So of any SHORTEST - _NEED + 1
-    of that side the other has one: those are looked up that the fewest contexts hold.
-    """
-    n = len(bodies)
-    sizes = [len(b) for b in bodies]
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    values, ids = np.unique(np.concatenate(bodies), return_inverse=True)
-    pairs = np.unique(ids.astype(np.int64) * n + np.repeat(np.arange(n), sizes))
-    holder = pairs % n
-    held = np.bincount(pairs // n, minlength=len(values))
-    at = np.concatenate(([0], np.cumsum(held)))
-    every = _enough(held[ids] > 1)
-    out = []
-    for i in range(n):
-        possible = every[begin[i] : begin[i + 1] - SHORTEST + 1]
-        found = [holder[:0]]
-        if possible.any():
-            mine = ids[begin[i] : begin[i + 1]]
-            c = centres[i]
-            for side in (mine[c : c + _HALF], mine[max(0, c - _HALF + 1) : c + 1]):
-                if len(side) == _HALF:
-                    rare = side[np.argsort(held[side], kind="stable")[: SHORTEST - _NEED + 1]]
-                    found += [holder[at[k] : at[k + 1]] for k in rare.tolist() if held[k] > 1]
-        out.append((possible, np.unique(np.concatenate(found)) if len(found) > 1 else found[0]))
-    return out
+def _spread(some: np.ndarray) -> np.ndarray:
+    """For each row of stretches: the cells of those that are true."""
+    d = np.zeros((len(some), _WIDTH + 1), dtype=np.int16)
+    d[:, : _WIDTH - SHORTEST + 1] += some
+    d[:, SHORTEST:] -= some
+    return np.cumsum(d[:, :-1], axis=1, dtype=np.int16) > 0
 
 
-def _verified(members: list[tuple[int, int, int, int, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
-    """Of contexts (value, content, block, centre, shingles): those verified, as value, content, first and last shingle, class.
+def _verified(group: np.ndarray, centres: np.ndarray, bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which stretches of each context have a counterpart in another one of its group (ascending), and the least row of its class.
 
-    Each context is held against every other that may cover a stretch of it, save
-    where that can tell nothing new: its stretches are settled and the other is in
-    its class already. Blocks 0 and 1 are compared across only, others with all.
+    A stretch of SHORTEST shingles around the centre has a counterpart in a context
+    that holds enough of its shingles. Only shingles that lie in a stretch of which
+    enough shingles are held by others count (a pair of stretches that are alike
+    consists of such). In each round every group has one leader, the context with the
+    most shared shingles left, that is held against all others; those whose shared
+    shingles the leader has all tell nothing more and leave with it: whatever links
+    to them links to the leader. So contexts are held against few others, and none is
+    passed over for a group's size.
     """
-    n = len(members)
-    bodies = [m[4] for m in members]
-    ordered: list[np.ndarray | None] = [None] * n
+    n = len(bodies)
+    sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=n)
+    cells = np.full((n, _WIDTH), _NONE, dtype=np.uint32)
+    row = np.repeat(np.arange(n), sizes)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(_SIDE - centres, sizes)
+    flat = np.concatenate(bodies) if n else np.zeros(0, np.uint32)
+    cells[row, column] = flat
+    filled = np.zeros((n, _WIDTH), dtype=bool)
+    filled[row, column] = True
+    whole = filled[:, : _WIDTH - SHORTEST + 1] & filled[:, SHORTEST - 1 :]
+    # Shingles that occur twice in the group.
+    keys = group[row].astype(np.uint64) << np.uint64(32) | flat
+    ordered = np.sort(keys)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    slot = np.zeros(1 << 22, dtype=bool)
+    mixed = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        slot[mixed(twice)] = True
+        maybe = np.nonzero(slot[mixed(keys)])[0]
+    hit = np.zeros((n, _WIDTH), dtype=bool)
+    if len(twice):
+        at = np.minimum(np.searchsorted(twice, keys[maybe]), len(twice) - 1)
+        maybe = maybe[twice[at] == keys[maybe]]
+        hit[row[maybe], column[maybe]] = True
+    possible = _stretches(hit) & whole
+    counts = _spread(possible)
+    shared = hit & counts
+    flags = np.zeros_like(possible)
     label = np.arange(n)
-    blocks = np.array([m[2] for m in members])
-    flags: list[np.ndarray] = []
-    index = _candidates(bodies, [m[3] for m in members]) if n > FEW else None
-    for i, sh in enumerate(bodies):
-        flagged = np.zeros(len(sh) - SHORTEST + 1, dtype=bool)
-        flags.append(flagged)
-        possible, others = index[i] if index else (~flagged, np.arange(n))
-        if not len(others):
-            continue
-        others = others[(others != i) & ((blocks[others] != blocks[i]) | (blocks[i] < 0))]
-        at, settled = 0, False
-        while at < len(others):
-            j = int(others[at])
-            at += 1
-            if ordered[j] is None:
-                ordered[j] = np.sort(bodies[j])
-            x = _covered(sh, ordered[j])
-            if not x.any():
-                continue
-            flagged |= x
-            a, b = label[i], label[j]
-            if a != b:
-                label[label == max(a, b)] = min(a, b)
-            settled = settled or bool((flagged >= possible).all())
-            if settled:
-                others, at = others[at:], 0
-                others = others[label[others] != label[i]]
-    out = []
-    for i, (h, s, *_) in enumerate(members):
-        if not flags[i].any():
-            continue
-        d = np.diff(np.concatenate(([0], flags[i].view(np.int8), [0])))
-        root = members[label[i]]
-        name = xxhash.xxh64_intdigest(f"{root[0]},{root[1]}") >> 2
-        for a, b in zip(np.nonzero(d == 1)[0].tolist(), np.nonzero(d == -1)[0].tolist()):
-            out.append((h, s, a, b + SHORTEST - 2, name))
+    live = np.nonzero(possible.any(axis=1))[0]
+    if not len(live):
+        return flags, label
+    mine, theirs = np.where(counts, cells, _NONE), np.where(counts, cells, _OTHER)
+    bits = _signatures(mine, shared)
+    amount = shared.sum(axis=1)
+    least = np.bitwise_count(bits).sum(axis=1, dtype=np.int64) - (amount - _NEED)
+    live = live[np.lexsort((-amount[live], group[live]))]
+    xs, ys = [], []
+    while len(live):
+        g = group[live]
+        first = np.concatenate(([True], g[1:] != g[:-1]))
+        leader = live[np.maximum.accumulate(np.where(first, np.arange(len(live)), 0))]
+        rest = ~first
+        i, k = live[rest], leader[rest]
+        gone = np.zeros(len(i), dtype=bool)
+        for a in range(0, len(i), 4096):
+            p, q = i[a : a + 4096], k[a : a + 4096]
+            near = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64) >= np.minimum(least[p], least[q])
+            w = np.nonzero(near)[0]
+            p, q = p[w], q[w]
+            same = mine[p] == theirs[q]
+            done = ~(shared[p] & ~same).any(axis=1)
+            own = _stretches(same)
+            other = own & whole[q]
+            own &= whole[p]
+            odd = np.nonzero(~done)[0]
+            for b in range(0, len(odd), 128):
+                o = odd[b : b + 128]
+                pairs = mine[p[o], :, None] == theirs[q[o], None, :]
+                have = pairs.any(axis=2)
+                own[o] |= _stretches(have) & whole[p[o]]
+                other[o] |= _stretches(pairs.any(axis=1)) & whole[q[o]]
+                done[o] = ~(shared[p[o]] & ~have).any(axis=1)
+            flags[p] |= own
+            if len(q):
+                new = np.concatenate(([0], np.nonzero(q[1:] != q[:-1])[0] + 1))
+                flags[q[new]] |= np.logical_or.reduceat(other, new, axis=0)
+            linked = own.any(axis=1) | other.any(axis=1)
+            xs.append(p[linked])
+            ys.append(q[linked])
+            gone[a + w] = done & linked
+        stay = rest.copy()
+        stay[np.nonzero(rest)[0][gone]] = False
+        live = live[stay]
+    x, y = _forest(n, np.concatenate(xs), np.concatenate(ys))
+    label[x] = y
+    return flags, label
+
+
+def _signatures(mine: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """1024 bits for each context, one set for each shared shingle: few common bits rule a pair out."""
+    out = np.zeros((len(mine), 16), dtype=np.uint64)
+    r, c = np.nonzero(shared)
+    code = (mine[r, c].astype(np.uint64) * np.uint64(0x9E3779B1)) >> np.uint64(8)
+    np.bitwise_or.at(out, (r, ((code >> np.uint64(6)) & np.uint64(15)).astype(np.int64)), np.uint64(1) << (code & np.uint64(63)))
     return out
 
 
 def _contexts(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """The shingles of the asked windows; those of a value in ``blocks`` blocks go to each pair that theirs is in."""
-    by_doc = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "c", "lo", "hi", "blocks")).alias("asked"))
+    by_doc = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "at", "blocks")).alias("asked"))
     rows = by_doc.join(texts, "rid").select("asked", "packed")
-    names = ["k", "h", "s", "block", "centre"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-
-    def made(rows):
-        *plain, body = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(plain, kinds)] + [pa.array(body, pa.binary())], [*names, "body"])
+    names = ["k", "h", "s", "centre", "body"]
 
     def run(batches):
-        out = []
         for batch in batches:
+            out = [[], [], [], [], []]
+            lists, bodies = batch.column(0), batch.column(1)
+            starts = lists.offsets.to_numpy()
+            h, s, at, n = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                sh = np.frombuffer(r["packed"], dtype=np.uint32)
-                for q in r["asked"]:
-                    body = sh[q["lo"] : q["hi"] + 1].tobytes()
-                    row = (q["h"], q["s"])
-                    centre, n = q["c"] - q["lo"], q["blocks"]
-                    if n == 1:
-                        out.append((q["h"], *row, -1, centre, body))
-                    else:
-                        mine = q["s"] % n
-                        for other in range(n):
-                            code = xxhash.xxh64_intdigest(f"{q['h']},{min(mine, other)},{max(mine, other)}") - (1 << 63)
-                            out.append((code, *row, -1 if mine == other else int(mine > other), centre, body))
-                            if len(out) > 20_000:
-                                yield made(out)
-                                out = []
-                if len(out) > 20_000:
-                    yield made(out)
-                    out = []
-        if out:
-            yield made(out)
-
-    return rows.mapInArrow(run, "k long, h long, s long, block int, centre int, body binary")
+                sh = bodies[i].as_buffer().to_pybytes()
+                for q in range(starts[i], starts[i + 1]):
+                    c, left, right = int(at[q]) >> 12, int(at[q]) >> 6 & 63, int(at[q]) & 63
+                    body = sh[4 * (c - left) : 4 * (c + right + 1)]
+                    m, mine = int(n[q]), int(s[q]) % int(n[q])
+                    pairs = [f"{h[q]},{min(mine, o)},{max(mine, o)}" for o in range(m) if o != mine]
+                    for code in [xxhash.xxh64_intdigest(x) - (1 << 63) for x in pairs] or [h[q]]:
+                        for x, y in zip(out, (code, h[q], s[q], left, body)):
+                            x.append(y)
+                    if len(out[0]) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
+                        out = [[], [], [], [], []]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return rows.mapInArrow(run, "k long, h long, s long, centre int, body binary")
 
 
 def _compared(contexts: DataFrame) -> DataFrame:
+    """Of the contexts that have a counterpart: runs of stretches that do (first and last shingle), and their class."""
     dealt = contexts.repartition("k").sortWithinPartitions("k", "s")
 
-    def run(batches):
-        out = []
-        for _, g in groups(batches, ["k"], ["h", "s", "block", "centre", "body"]):
-            if len(g["h"]) > 1:
-                plain = zip(*(g[c].tolist() for c in ("h", "s", "block", "centre")))
-                out += _verified([(*x, np.frombuffer(b, dtype=np.uint32)) for x, b in zip(plain, g["body"])])
-            if len(out) > 20_000:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
-
-    def _batch(out):
-        h, s, a, b, c = zip(*out)
+    def work(held):
+        sizes = [len(g["h"]) for g in held]
+        h, s, c = (np.concatenate([g[x] for g in held]).astype(np.int64) for x in ("h", "s", "centre"))
+        bodies = [np.frombuffer(b, dtype=np.uint32) for g in held for b in g["body"]]
+        flags, label = _verified(np.repeat(np.arange(len(held)), sizes), c, bodies)
+        d = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, a = np.nonzero(d == 1)
+        if not len(row):
+            return None
+        b = np.nonzero(d == -1)[1]
+        shift = c[row] - _SIDE  # from cells to shingles of the window
+        root = label[row]
+        with np.errstate(over="ignore"):
+            name = _mixed(h[root].view(np.uint64) + _mixed(s[root].view(np.uint64), np.uint64(5)), np.uint64(3)) >> np.uint64(2)
         return pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.int64()), pa.array(s, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.int64())],
+            [pa.array(h[row]), pa.array(s[row]), pa.array((a + shift).astype(np.int32)), pa.array((b + shift + SHORTEST - 2).astype(np.int32)), pa.array(name.view(np.int64))],
             ["h", "s", "a", "b", "class"],
         )
 
+    def run(batches):
+        held, load = [], 0
+        for _, g in groups(batches, ["k"], ["h", "s", "centre", "body"]):
+            if len(g["h"]) < 2:
+                continue
+            held.append(g)
+            load += len(g["h"])
+            if load >= VERIFIED:
+                if (out := work(held)) is not None:
+                    yield out
+                held, load = [], 0
+        if held and (out := work(held)) is not None:
+            yield out
+
     return dealt.mapInArrow(run, "h long, s long, a int, b int, class long")
 
 
@@ -304,16 +411,17 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     every = prepared.select("rid", F.explode("windows").alias("x")).select("rid", "x.*")
     common = every.groupBy("h").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("h")
     shared, shared_path = cut(every.join(common, "h"))
-    distinct = shared.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "c", "lo", "hi")).alias("r"))
+    distinct = shared.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at")).alias("r"))
     kinds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
     distinct, _ = cut(distinct.join(kinds, "h"))
     asked = distinct.where("kinds > 1").select("h", "s", "r.*", F.ceil(F.col("kinds") / max(HOT, 1)).cast("int").alias("blocks"))
     near = _compared(_contexts(asked, prepared.select("rid", "packed")))
     same = distinct.where("n > 1").select(
-        "h", "s", F.lit(0).alias("a"), (F.col("r.hi") - F.col("r.lo")).alias("b"), F.shiftright(F.xxhash64("h", "s"), 2).alias("class")
+        "h", "s", F.lit(0).alias("a"), (F.shiftright("r.at", 6).bitwiseAND(F.lit(63)) + F.col("r.at").bitwiseAND(F.lit(63))).cast("int").alias("b"), F.shiftright(F.xxhash64("h", "s"), 2).alias("class")
     )
     found, _ = cut(near.unionByName(same).distinct())
-    hits, _ = cut(shared.join(found, ["h", "s"]).select("rid", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + WORDS).alias("b"), "class"))
+    lo = (F.shiftright("at", 12) - F.shiftright("at", 6).bitwiseAND(F.lit(63))).cast("int")
+    hits, _ = cut(shared.join(found, ["h", "s"]).select("rid", (lo + F.col("a")).alias("a"), (lo + F.col("b") + WORDS).alias("b"), "class"))
     forget(spark, shared_path)
     least = hits.groupBy("class").agg(F.min("rid").alias("to"))
     roots = connected_components(hits.select("rid", "class").distinct().join(least, "class").select(F.col("rid").alias("a"), F.col("to").alias("b")))
