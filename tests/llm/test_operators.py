@@ -519,7 +519,7 @@ def test_passages_windows_and_shingles_of_many_texts(piece, monkeypatch):
             want += [(int(v[c].view(np.int64)) ^ j, a + c, a + max(x, c - 45), a + min(y, c + 45)) for x, c, y in passages.compact_windows(v)]
         assert sorted(zip(*(x.tolist() for x in passages._all_windows(sh, begin, j)))) == sorted(want)
     texts = ["a b c d e f g", None, "", "x y z", "one two three four five six", "A b  c\x1cd\u3000e", "É\xa0b c d e", "é b c d e f", " a b c d e ", "\u2003", "a b c d ef"]
-    made, at = passages._all_shingles(texts)
+    made, at = passages._all_shingles(passages._raw(texts))
     named = {}
     for i, t in enumerate(texts):
         w = (t or "").lower().split()

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(text: str | None) -> np.ndarray:
     """32-bit hashes of the five-word shingles of a text in lower case (none, if it has fewer words)."""
-    return _all_shingles([text])[0]
+    return _all_shingles(_raw([text]))[0]
 
 
 def compact_windows(values: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
@@ -88,10 +89,14 @@ def compact_windows(values: np.ndarray, shortest: int = SHORTEST) -> list[tuple[
     return out
 
 
-def _all_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`shingles` of some texts, one after the other, and where each text's begin (and the last ones end)."""
+def _raw(texts: list[str | None]) -> list[bytes]:
+    """Texts in lower case, with ASCII white space only, as UTF-8."""
     plain = [t.lower() if t else "" for t in texts]
-    raw = [(t if t.isascii() else _WIDE.sub(" ", t)).encode("utf-8", "replace") for t in plain]
+    return [(t if t.isascii() else _WIDE.sub(" ", t)).encode("utf-8", "replace") for t in plain]
+
+
+def _all_shingles(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shingles` of some texts, one after the other, and where each text's begin (and the last ones end)."""
     border = np.cumsum([0] + [len(r) + 1 for r in raw])
     places, w = _word_hashes(b" ".join(raw))
     sizes = np.diff(np.searchsorted(places, border))
@@ -131,7 +136,7 @@ def _all_windows(sh: np.ndarray, begin: np.ndarray, j: int) -> tuple[np.ndarray,
 
 
 def _prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each document: its shingles and its compact windows, each cut to what its centre can reach.
+    """A row for each document: its text compressed and its compact windows, each cut to what its centre can reach.
 
     Of a window: value ``h``, content ``s`` and ``at``, the centre's place and the
     reach to its left and right side by side (48, 6 and 6 bits).
@@ -141,7 +146,8 @@ def _prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = rows.schema["_key"].dataType.simpleString()
 
     def made(part):
-        sh, begin = _all_shingles(part.column(1).to_pylist())
+        raw = _raw(part.column(1).to_pylist())
+        sh, begin = _all_shingles(raw)
         if len(sh) >= 1 << 26:
             raise OverflowError("a text of over 67 million words")
         n = len(sh)
@@ -161,7 +167,8 @@ def _prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
         at = (c - begin[doc]) << 12 | left << 6 | right
         structs = pa.StructArray.from_arrays([pa.array(x[order], pa.int64()) for x in (h, s, at)], ["h", "s", "at"])
         offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=part.num_rows)))).astype(np.int32)
-        packed = [sh[x:y].tobytes() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
+        pack = zstandard.ZstdCompressor(level=3)
+        packed = [pack.compress(r) for r in raw]
         return pa.RecordBatch.from_arrays(
             [part.column(0), part.column(2), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), structs)],
             ["_key", "rid", "packed", "windows"],
@@ -203,8 +210,6 @@ def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _SIDE = SHORTEST - 1  # shingles that a context has on either side of its centre, at most
 _WIDTH = 2 * _SIDE + 1
-#: Stand for cells without a shingle, in a context and in what it is held against.
-_NONE, _OTHER = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 
 
 def _stretches(hit: np.ndarray) -> np.ndarray:
@@ -231,16 +236,15 @@ def _verified(group: np.ndarray, centres: np.ndarray, bodies: list[np.ndarray])
     consists of such). In each round every group has one leader, the context with the
     most shared shingles left, that is held against all others; those whose shared
     shingles the leader has all tell nothing more and leave with it: whatever links
-    to them links to the leader. So contexts are held against few others, and none is
-    passed over for a group's size.
+    to them links to the leader. Two contexts of one class whose stretches all have
+    counterparts already are not compared, and a group of such is done. So contexts
+    are held against few others, and none is passed over for a group's size.
     """
     n = len(bodies)
     sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=n)
-    cells = np.full((n, _WIDTH), _NONE, dtype=np.uint32)
     row = np.repeat(np.arange(n), sizes)
     column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(_SIDE - centres, sizes)
     flat = np.concatenate(bodies) if n else np.zeros(0, np.uint32)
-    cells[row, column] = flat
     filled = np.zeros((n, _WIDTH), dtype=bool)
     filled[row, column] = True
     whole = filled[:, : _WIDTH - SHORTEST + 1] & filled[:, SHORTEST - 1 :]
@@ -248,80 +252,84 @@ def _verified(group: np.ndarray, centres: np.ndarray, bodies: list[np.ndarray])
     keys = group[row].astype(np.uint64) << np.uint64(32) | flat
     ordered = np.sort(keys)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    none = len(twice)
     slot = np.zeros(1 << 22, dtype=bool)
     mixed = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
     with np.errstate(over="ignore"):
         slot[mixed(twice)] = True
         maybe = np.nonzero(slot[mixed(keys)])[0]
-    hit = np.zeros((n, _WIDTH), dtype=bool)
-    if len(twice):
-        at = np.minimum(np.searchsorted(twice, keys[maybe]), len(twice) - 1)
-        maybe = maybe[twice[at] == keys[maybe]]
-        hit[row[maybe], column[maybe]] = True
-    possible = _stretches(hit) & whole
-    counts = _spread(possible)
-    shared = hit & counts
+    ids = np.full((n, _WIDTH), none, dtype=np.int32)
+    if none:
+        at = np.minimum(np.searchsorted(twice, keys[maybe]), none - 1)
+        fine = twice[at] == keys[maybe]
+        ids[row[maybe[fine]], column[maybe[fine]]] = at[fine]
+    possible = _stretches(ids < none) & whole
+    ids[~_spread(possible)] = none
+    shared = ids < none
     flags = np.zeros_like(possible)
     label = np.arange(n)
     live = np.nonzero(possible.any(axis=1))[0]
-    if not len(live):
-        return flags, label
-    mine, theirs = np.where(counts, cells, _NONE), np.where(counts, cells, _OTHER)
-    bits = _signatures(mine, shared)
-    amount = shared.sum(axis=1)
-    least = np.bitwise_count(bits).sum(axis=1, dtype=np.int64) - (amount - _NEED)
-    live = live[np.lexsort((-amount[live], group[live]))]
-    xs, ys = [], []
+    live = live[np.lexsort((-shared[live].sum(axis=1), group[live]))]
+    settled = np.zeros(n, dtype=bool)  # all its possible stretches have a counterpart
+    led, cell = np.zeros(none + 1, dtype=bool), np.zeros(none + 1, dtype=np.int64)
     while len(live):
         g = group[live]
         first = np.concatenate(([True], g[1:] != g[:-1]))
-        leader = live[np.maximum.accumulate(np.where(first, np.arange(len(live)), 0))]
+        at = np.nonzero(first)[0]
+        leader = np.repeat(live[at], np.diff(np.append(at, len(live))))
+        news = ~(settled[live] & settled[leader] & (label[live] == label[leader]))
+        more = np.logical_or.reduceat(news, at)  # groups that are one settled class are done
+        if not more.all():
+            keep = np.repeat(more, np.diff(np.append(at, len(live))))
+            live = live[keep]
+            continue
         rest = ~first
         i, k = live[rest], leader[rest]
         gone = np.zeros(len(i), dtype=bool)
-        for a in range(0, len(i), 4096):
-            p, q = i[a : a + 4096], k[a : a + 4096]
-            near = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64) >= np.minimum(least[p], least[q])
-            w = np.nonzero(near)[0]
-            p, q = p[w], q[w]
-            same = mine[p] == theirs[q]
-            done = ~(shared[p] & ~same).any(axis=1)
-            own = _stretches(same)
-            other = own & whole[q]
-            own &= whole[p]
-            odd = np.nonzero(~done)[0]
-            for b in range(0, len(odd), 128):
-                o = odd[b : b + 128]
-                pairs = mine[p[o], :, None] == theirs[q[o], None, :]
-                have = pairs.any(axis=2)
-                own[o] |= _stretches(have) & whole[p[o]]
-                other[o] |= _stretches(pairs.any(axis=1)) & whole[q[o]]
-                done[o] = ~(shared[p[o]] & ~have).any(axis=1)
+        useful = np.nonzero(news[rest])[0]
+        xs, ys = [], []
+        heads = live[at]
+        which = np.cumsum(first)[rest] - 1
+        led[ids[heads]] = True
+        led[none] = False
+        cell[ids[heads]] = np.arange(_WIDTH)
+        stand = cell[ids[heads]]  # of equal shingles of a leader one stands for all
+        double = (shared[heads] & (stand != np.arange(_WIDTH))).any(axis=1)
+        for a in range(0, len(useful), 4096):
+            w = useful[a : a + 4096]
+            have = led[ids[i[w]]]
+            near = (np.count_nonzero(have, axis=1) >= _NEED) | double[which[w]]
+            w, have = w[near], have[near]
+            p, q = i[w], k[w]
+            own = _stretches(have) & whole[p]
+            done = ~(shared[p] & ~have).any(axis=1)
+            x, y = np.nonzero(have)
+            theirs = np.zeros_like(have)
+            theirs[x, cell[ids[p[x], y]]] = True
+            other = _stretches(np.take_along_axis(theirs, stand[which[w]], axis=1) & shared[q]) & whole[q]
             flags[p] |= own
             if len(q):
                 new = np.concatenate(([0], np.nonzero(q[1:] != q[:-1])[0] + 1))
                 flags[q[new]] |= np.logical_or.reduceat(other, new, axis=0)
+            both = np.concatenate((p, q))
+            settled[both] = ~(possible[both] & ~flags[both]).any(axis=1)
             linked = own.any(axis=1) | other.any(axis=1)
-            xs.append(p[linked])
-            ys.append(q[linked])
-            gone[a + w] = done & linked
+            xs.append(label[p[linked]])
+            ys.append(label[q[linked]])
+            gone[w] = done & linked
+        led[ids[heads]] = False
+        if xs:
+            x, y = _forest(n, np.concatenate(xs), np.concatenate(ys))
+            if len(x):
+                to = np.arange(n)
+                to[x] = y
+                label = to[label]
         stay = rest.copy()
         stay[np.nonzero(rest)[0][gone]] = False
         live = live[stay]
-    x, y = _forest(n, np.concatenate(xs), np.concatenate(ys))
-    label[x] = y
     return flags, label
 
 
-def _signatures(mine: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """1024 bits for each context, one set for each shared shingle: few common bits rule a pair out."""
-    out = np.zeros((len(mine), 16), dtype=np.uint64)
-    r, c = np.nonzero(shared)
-    code = (mine[r, c].astype(np.uint64) * np.uint64(0x9E3779B1)) >> np.uint64(8)
-    np.bitwise_or.at(out, (r, ((code >> np.uint64(6)) & np.uint64(15)).astype(np.int64)), np.uint64(1) << (code & np.uint64(63)))
-    return out
-
-
 def _contexts(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """The shingles of the asked windows; those of a value in ``blocks`` blocks go to each pair that theirs is in."""
     by_doc = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "at", "blocks")).alias("asked"))
@@ -334,11 +342,14 @@ def _contexts(asked: DataFrame, texts: DataFrame) -> DataFrame:
             lists, bodies = batch.column(0), batch.column(1)
             starts = lists.offsets.to_numpy()
             h, s, at, n = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            unpack = zstandard.ZstdDecompressor()
             for i in range(batch.num_rows):
-                sh = bodies[i].as_buffer().to_pybytes()
+                if i % 100 == 0:
+                    sh, begin = _all_shingles([unpack.decompress(b) for b in bodies.slice(i, 100).to_pylist()])
+                own = begin[i % 100]
                 for q in range(starts[i], starts[i + 1]):
                     c, left, right = int(at[q]) >> 12, int(at[q]) >> 6 & 63, int(at[q]) & 63
-                    body = sh[4 * (c - left) : 4 * (c + right + 1)]
+                    body = sh[own + c - left : own + c + right + 1].tobytes()
                     m, mine = int(n[q]), int(s[q]) % int(n[q])
                     pairs = [f"{h[q]},{min(mine, o)},{max(mine, o)}" for o in range(m) if o != mine]
                     for code in [xxhash.xxh64_intdigest(x) - (1 << 63) for x in pairs] or [h[q]]:
@@ -407,22 +418,26 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     look at the text; one copy of each different context is fetched and compared.
     """
     spark = docs.sparkSession
-    prepared, _ = cut(_prepared(docs, key, text))
+    prepared, prepared_path = cut(_prepared(docs, key, text))
+    keys, _ = cut(prepared.select("rid", "_key"))
     every = prepared.select("rid", F.explode("windows").alias("x")).select("rid", "x.*")
     common = every.groupBy("h").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("h")
     shared, shared_path = cut(every.join(common, "h"))
     distinct = shared.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at")).alias("r"))
     kinds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    distinct, _ = cut(distinct.join(kinds, "h"))
+    distinct, distinct_path = cut(distinct.join(kinds, "h").where("kinds > 1 or n > 1"))
     asked = distinct.where("kinds > 1").select("h", "s", "r.*", F.ceil(F.col("kinds") / max(HOT, 1)).cast("int").alias("blocks"))
     near = _compared(_contexts(asked, prepared.select("rid", "packed")))
     same = distinct.where("n > 1").select(
         "h", "s", F.lit(0).alias("a"), (F.shiftright("r.at", 6).bitwiseAND(F.lit(63)) + F.col("r.at").bitwiseAND(F.lit(63))).cast("int").alias("b"), F.shiftright(F.xxhash64("h", "s"), 2).alias("class")
     )
-    found, _ = cut(near.unionByName(same).distinct())
+    found, found_path = cut(near.unionByName(same).distinct())
+    forget(spark, prepared_path)
+    forget(spark, distinct_path)
     lo = (F.shiftright("at", 12) - F.shiftright("at", 6).bitwiseAND(F.lit(63))).cast("int")
     hits, _ = cut(shared.join(found, ["h", "s"]).select("rid", (lo + F.col("a")).alias("a"), (lo + F.col("b") + WORDS).alias("b"), "class"))
     forget(spark, shared_path)
+    forget(spark, found_path)
     least = hits.groupBy("class").agg(F.min("rid").alias("to"))
     roots = connected_components(hits.select("rid", "class").distinct().join(least, "class").select(F.col("rid").alias("a"), F.col("to").alias("b")))
     spans = hits.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("all"))
@@ -438,7 +453,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         ).otherwise(F.concat(acc, F.array(F.struct(x["a"].alias("a"), x["b"].alias("b"))))),
     )
     spans = spans.select("rid", merged.alias("passages"))
-    rows = spans.join(prepared.select("rid", "_key"), "rid").join(roots.withColumnRenamed("id", "rid"), "rid", "left")
+    rows = spans.join(keys, "rid").join(roots.withColumnRenamed("id", "rid"), "rid", "left")
     rows = rows.withColumn("root", F.coalesce("root", "rid"))
     tops = rows.groupBy("root").agg(F.min("_key").alias("class_id"))
     return rows.join(tops, "root").select(
