@@ -220,7 +220,7 @@ def fitted(old: T.DataType, new: T.DataType) -> T.DataType:
     """The type of a column that held ``old`` and gets ``new``."""
     if isinstance(new, T.NullType) or old == new:
         return old
-    if isinstance(old, T.NullType):
+    if isinstance(old, T.NullType) or old.simpleString() == new.simpleString():
         return new
     if isinstance(old, T.NumericType) and isinstance(new, T.NumericType):
         return T.LongType() if isinstance(old, T.IntegralType) and isinstance(new, T.IntegralType) else T.DoubleType()
@@ -230,7 +230,7 @@ def fitted(old: T.DataType, new: T.DataType) -> T.DataType:
 def union_fitted(a: DataFrame, b: DataFrame) -> DataFrame:
     """All rows of both; columns by name, absent ones null, types widened where they differ."""
     for k in b.columns:
-        if k in a.columns and a.schema[k].dataType != b.schema[k].dataType:
+        if k in a.columns and a.schema[k].dataType.simpleString() != b.schema[k].dataType.simpleString():
             t = fitted(a.schema[k].dataType, b.schema[k].dataType)
             a, b = a.withColumn(k, F.col(f"`{k}`").cast(t)), b.withColumn(k, F.col(f"`{k}`").cast(t))
     return a.unionByName(b, allowMissingColumns=True)

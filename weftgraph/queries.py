@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import write_queries
 from .operators import fulltext, security, tables, vector
 from .plans.builder import PlanBuilder
 from .session import GraphSession
@@ -52,12 +53,12 @@ _CYPHER: dict[str, tuple[str, str | None]] = {
         "WITH e AS (SELECT conv_id, turn, role, lead(turn) OVER w AS t2, lead(role) OVER w AS r2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), p AS (SELECT role AS a, r2 AS b FROM e WHERE t2 IS NOT NULL UNION ALL SELECT r2, role FROM e WHERE t2 IS NOT NULL) SELECT a, b, count(*) AS n FROM p GROUP BY a, b",
     ),
     "rel_type_alternatives": (
-        "MATCH (o:Order)-[r:CONTAINS|SHIPPED_BY]->(x) WHERE o.o_orderkey < 50 RETURN type(r) AS t, count(*) AS n",
-        "SELECT 'CONTAINS' AS t, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < 50 HAVING count(*) > 0 UNION ALL SELECT 'SHIPPED_BY', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < 50 HAVING count(*) > 0",
+        "MATCH (o:Order)-[r:CONTAINS|SHIPPED_BY]->(x) RETURN type(r) AS t, count(*) AS n",
+        "SELECT 'CONTAINS' AS t, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey HAVING count(*) > 0 UNION ALL SELECT 'SHIPPED_BY', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey HAVING count(*) > 0",
     ),
     "untyped_rel": (
-        "MATCH (o:Order)-[r]->(x) WHERE o.o_orderkey < 50 RETURN count(*) AS n",
-        "SELECT 2 * count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < 50",
+        "MATCH (o:Order)-[r]->(x) RETURN count(*) AS n",
+        "SELECT 2 * count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     ),
     "rel_property": (
         "MATCH (o:Order)-[k:CONTAINS {returnflag: 'R'}]->(p:Part) WHERE k.discount > 0.05 RETURN p.p_brand AS brand, count(*) AS n",
@@ -68,8 +69,8 @@ _CYPHER: dict[str, tuple[str, str | None]] = {
         "SELECT p_partkey AS p, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 10 GROUP BY p_partkey",
     ),
     "comma_shared": (
-        "MATCH (o:Order)-[:CONTAINS]->(p:Part), (s:Supplier)-[:SUPPLIES]->(p) WHERE o.o_orderkey < 20 RETURN p.p_partkey AS p, count(DISTINCT s) AS n",
-        "SELECT p_partkey AS p, count(DISTINCT b.l_suppkey) AS n FROM lineitem a JOIN part ON p_partkey = a.l_partkey JOIN lineitem b ON b.l_partkey = p_partkey JOIN orders ON o_orderkey = a.l_orderkey WHERE a.l_orderkey < 20 GROUP BY p_partkey",
+        "MATCH (o:Order)-[:CONTAINS]->(p:Part), (s:Supplier)-[:SUPPLIES]->(p) RETURN p.p_partkey AS p, count(DISTINCT s) AS n",
+        "SELECT p_partkey AS p, count(DISTINCT b.l_suppkey) AS n FROM lineitem a JOIN part ON p_partkey = a.l_partkey JOIN lineitem b ON b.l_partkey = p_partkey JOIN orders ON o_orderkey = a.l_orderkey GROUP BY p_partkey",
     ),
     "comma_cartesian": ("MATCH (a:Region), (b:Nation) RETURN count(*) AS n", "SELECT count(*) AS n FROM region, nation"),
     "cycle": (
@@ -101,7 +102,7 @@ _CYPHER: dict[str, tuple[str, str | None]] = {
         "WITH RECURSIVE e AS (SELECT conv_id, turn AS a, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), p AS (SELECT conv_id, b AS at, 1 AS hops FROM e WHERE a = 0 AND b IS NOT NULL UNION ALL SELECT p.conv_id, e.b, hops + 1 FROM p JOIN e ON e.conv_id = p.conv_id AND e.a = p.at WHERE e.b IS NOT NULL AND hops < 10) SELECT count(*) AS n FROM p",
     ),
     "anonymous_nodes": ("MATCH (:Customer)-[:PLACED]->()-[:CONTAINS]->(p:Part) RETURN p.p_brand AS b, count(*) AS n", "SELECT p_brand AS b, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY p_brand"),
-    "named_path": ("MATCH p = (c:Customer)-[r:PLACED]->(o:Order) WHERE o.o_orderkey < 30 RETURN o.o_orderkey AS k, length(p) AS n", "SELECT o_orderkey AS k, CAST(3 AS BIGINT) AS n FROM orders WHERE o_orderkey < 30"),
+    "named_path": ("MATCH p = (c:Customer)-[r:PLACED]->(o:Order) RETURN o.o_orderkey AS k, length(p) AS n", "SELECT o_orderkey AS k, CAST(3 AS BIGINT) AS n FROM orders"),
     "optional_match": (
         "MATCH (d:Doc) OPTIONAL MATCH (d)-[:HAS_LABEL]->(l:Label) RETURN d.doc_id AS k, l.quality AS q",
         "SELECT d.doc_id AS k, quality AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
@@ -111,8 +112,8 @@ _CYPHER: dict[str, tuple[str, str | None]] = {
         "SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 150000 GROUP BY c_custkey",
     ),
     "optional_correlated": (
-        "MATCH (c:Customer) WHERE c.c_custkey < 60 OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > c.c_acctbal * 20 RETURN c.c_custkey AS k, count(o) AS n",
-        "SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 20 WHERE c_custkey < 60 GROUP BY c_custkey",
+        "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > c.c_acctbal * 20 RETURN c.c_custkey AS k, count(o) AS n",
+        "SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 20 GROUP BY c_custkey",
     ),
     "exists_semi": (
         "MATCH (d:Doc) WHERE EXISTS { MATCH (d)-[:HAS_LABEL]->(l:Label) WHERE l.toxic = 1 } RETURN d.doc_id AS k",
@@ -127,8 +128,8 @@ _CYPHER: dict[str, tuple[str, str | None]] = {
         "SELECT doc_id AS k FROM documents d WHERE lang = 'de' OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)",
     ),
     "call_subquery": (
-        "MATCH (c:Customer) WHERE c.c_custkey < 40 CALL { MATCH (c)-[:PLACED]->(o:Order) RETURN count(o) AS n, max(o.o_totalprice) AS top } RETURN c.c_custkey AS k, n, top",
-        "SELECT c_custkey AS k, count(o_orderkey) AS n, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 40 GROUP BY c_custkey",
+        "MATCH (c:Customer) CALL { MATCH (c)-[:PLACED]->(o:Order) RETURN count(o) AS n, max(o.o_totalprice) AS top } RETURN c.c_custkey AS k, n, top",
+        "SELECT c_custkey AS k, count(o_orderkey) AS n, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     ),
     "shortest_path_null": ("MATCH (r:Region) RETURN r.r_name AS r, shortestPath(r) AS p", "SELECT r_name AS r, CAST(NULL AS VARCHAR) AS p FROM region"),
     # -- projection and pipeline
@@ -163,8 +164,8 @@ _CYPHER: dict[str, tuple[str, str | None]] = {
         "SELECT d.doc_id AS k FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE toxic IS NULL OR quality = 0",
     ),
     "arithmetic": (
-        "MATCH (o:Order) WHERE o.o_orderkey < 200 RETURN o.o_orderkey AS k, o.o_orderkey / 7 AS d, -o.o_orderkey % 7 AS m, o.o_orderkey * 2 - 1 AS t, o.o_totalprice / 2.0 AS h",
-        "SELECT o_orderkey AS k, o_orderkey // 7 AS d, -o_orderkey % 7 AS m, o_orderkey * 2 - 1 AS t, o_totalprice / 2.0 AS h FROM orders WHERE o_orderkey < 200",
+        "MATCH (o:Order) RETURN o.o_orderkey AS k, o.o_orderkey / 7 AS d, -o.o_orderkey % 7 AS m, o.o_orderkey * 2 - 1 AS t, o.o_totalprice / 2.0 AS h",
+        "SELECT o_orderkey AS k, o_orderkey // 7 AS d, -o_orderkey % 7 AS m, o_orderkey * 2 - 1 AS t, o_totalprice / 2.0 AS h FROM orders",
     ),
     "case_searched": (
         "MATCH (o:Order) RETURN CASE WHEN o.o_totalprice > 200000 THEN 'high' WHEN o.o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, count(*) AS n",
@@ -205,26 +206,40 @@ _CYPHER: dict[str, tuple[str, str | None]] = {
     "union_all": ("MATCH (c:Customer) RETURN c.c_nationkey AS k UNION ALL MATCH (s:Supplier) RETURN s.s_nationkey AS k", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
     "union_distinct": ("MATCH (c:Customer) RETURN c.c_nationkey AS k UNION MATCH (s:Supplier) RETURN s.s_nationkey AS k", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     # -- functions
-    "fn_graph": ("MATCH (c:Customer)-[r:PLACED]->(o:Order) WHERE o.o_orderkey < 20 RETURN id(c) AS c, labels(o)[0] AS l, type(r) AS t, size(keys(o)) AS k, properties(o).o_orderstatus AS s, exists(o.nothing) AS e", "SELECT o_custkey AS c, 'Order' AS l, 'PLACED' AS t, CAST(6 AS BIGINT) AS k, o_orderstatus AS s, false AS e FROM orders WHERE o_orderkey < 20"),
+    "fn_graph": ("MATCH (c:Customer)-[r:PLACED]->(o:Order) RETURN id(c) AS c, labels(o)[0] AS l, type(r) AS t, size(keys(o)) AS k, properties(o).o_orderstatus AS s, exists(o.nothing) AS e", "SELECT o_custkey AS c, 'Order' AS l, 'PLACED' AS t, CAST(6 AS BIGINT) AS k, o_orderstatus AS s, false AS e FROM orders"),
     "fn_list": ("MATCH (r:Region) WITH r, range(1, 5) AS l RETURN r.r_name AS r, head(l) AS h, last(l) AS t, size(tail(l)) AS s, reverse(l)[0] AS v, size(range(5, 1)) AS e, coalesce(null, r.r_regionkey) AS c", "SELECT r_name AS r, CAST(1 AS BIGINT) AS h, CAST(5 AS BIGINT) AS t, CAST(4 AS BIGINT) AS s, CAST(5 AS BIGINT) AS v, CAST(0 AS BIGINT) AS e, r_regionkey AS c FROM region"),
     "fn_text": (
-        "MATCH (c:Customer) WHERE c.c_custkey < 100 RETURN c.c_custkey AS k, toLower(c.c_name) AS a, toUpper(c.c_mktsegment) AS b, substring(c.c_name, 2, 4) AS d, left(c.c_name, 3) AS e, right(c.c_name, 3) AS f, replace(c.c_name, 'er', '_') AS g, reverse(c.c_name) AS h, size(c.c_name) AS i, trim('  ' + c.c_name + ' ') AS j, lpad('ab', 5, '*') AS l, rpad('ab', 5, '*') AS m, split('a..b.', '.')[2] AS n",
-        "SELECT c_custkey AS k, lower(c_name) AS a, upper(c_mktsegment) AS b, substr(c_name, 3, 4) AS d, left(c_name, 3) AS e, right(c_name, 3) AS f, replace(c_name, 'er', '_') AS g, reverse(c_name) AS h, CAST(strlen(c_name) AS BIGINT) AS i, c_name AS j, '***ab' AS l, 'ab***' AS m, 'b' AS n FROM customer WHERE c_custkey < 100",
+        "MATCH (c:Customer) RETURN c.c_custkey AS k, toLower(c.c_name) AS a, toUpper(c.c_mktsegment) AS b, substring(c.c_name, 2, 4) AS d, left(c.c_name, 3) AS e, right(c.c_name, 3) AS f, replace(c.c_name, 'er', '_') AS g, reverse(c.c_name) AS h, size(c.c_name) AS i, trim('  ' + c.c_name + ' ') AS j, lpad('ab', 5, '*') AS l, rpad('ab', 5, '*') AS m, split('a..b.', '.')[2] AS n",
+        "SELECT c_custkey AS k, lower(c_name) AS a, upper(c_mktsegment) AS b, substr(c_name, 3, 4) AS d, left(c_name, 3) AS e, right(c_name, 3) AS f, replace(c_name, 'er', '_') AS g, reverse(c_name) AS h, CAST(strlen(c_name) AS BIGINT) AS i, c_name AS j, '***ab' AS l, 'ab***' AS m, 'b' AS n FROM customer",
     ),
-    "fn_unicode": ("MATCH (d:Doc) WHERE d.lang = 'fr' AND d.doc_id < 300 RETURN d.doc_id AS k, size(d.text) AS bytes, length(d.text) AS chars", "SELECT doc_id AS k, CAST(strlen(text) AS BIGINT) AS bytes, CAST(length(text) AS BIGINT) AS chars FROM documents WHERE lang = 'fr' AND doc_id < 300"),
+    "fn_unicode": ("MATCH (d:Doc) WHERE d.lang = 'fr' RETURN d.doc_id AS k, size(d.text) AS bytes, length(d.text) AS chars", "SELECT doc_id AS k, CAST(strlen(text) AS BIGINT) AS bytes, CAST(length(text) AS BIGINT) AS chars FROM documents WHERE lang = 'fr'"),
     "fn_convert": ("MATCH (r:Region) RETURN r.r_name AS r, toInteger('42') + r.r_regionkey AS a, toFloat('1.5') AS b, toString(r.r_regionkey) AS c, toString(2.0) AS d, toBoolean('TRUE') AS e, toInteger(-2.7) AS f, toString(null) AS g", "SELECT r_name AS r, CAST(42 + r_regionkey AS BIGINT) AS a, CAST(1.5 AS DOUBLE) AS b, CAST(r_regionkey AS VARCHAR) AS c, '2' AS d, true AS e, CAST(-2 AS BIGINT) AS f, 'null' AS g FROM region"),
     "fn_math": (
-        "MATCH (c:Customer) WHERE c.c_custkey < 200 WITH c.c_custkey AS k, c.c_acctbal AS x RETURN k, abs(x) AS a, ceil(x) AS b, floor(x) AS c, sign(x) AS d, round(sqrt(abs(x)) * 1000) AS e, round(log(abs(x) + 1) * 1000) AS f, round(sin(x) * 1000) AS g, round(atan2(x, 2.0) * 1000) AS h, round(exp(x / 10000.0) * 1000) AS i, round(degrees(radians(x))) AS j",
-        "SELECT k, abs(x) AS a, ceil(x) AS b, floor(x) AS c, CAST(sign(x) AS DOUBLE) AS d, r(sqrt(abs(x)) * 1000) AS e, r(ln(abs(x) + 1) * 1000) AS f, r(sin(x) * 1000) AS g, r(atan2(x, 2.0) * 1000) AS h, r(exp(x / 10000.0) * 1000) AS i, r(x) AS j FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer WHERE c_custkey < 200)",
+        "MATCH (c:Customer) WITH c.c_custkey AS k, c.c_acctbal AS x RETURN k, abs(x) AS a, ceil(x) AS b, floor(x) AS c, sign(x) AS d, round(sqrt(abs(x)) * 1000) AS e, round(log(abs(x) + 1) * 1000) AS f, round(sin(x) * 1000) AS g, round(atan2(x, 2.0) * 1000) AS h, round(exp(x / 10000.0) * 1000) AS i, round(degrees(radians(x))) AS j",
+        "SELECT k, abs(x) AS a, ceil(x) AS b, floor(x) AS c, CAST(sign(x) AS DOUBLE) AS d, r(sqrt(abs(x)) * 1000) AS e, r(ln(abs(x) + 1) * 1000) AS f, r(sin(x) * 1000) AS g, r(atan2(x, 2.0) * 1000) AS h, r(exp(x / 10000.0) * 1000) AS i, r(x) AS j FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer)",
     ),
     "fn_infinite": ("RETURN 1.0 / 0 = gds.util.infinity() AS a, gds.util.isFinite(gds.util.NaN()) AS b, gds.util.isInfinite(-1.0 / 0) AS c, log(0) < 0 AS d", "SELECT true AS a, false AS b, true AS c, true AS d"),
     "fn_similarity": (
-        "MATCH (a:Vec), (b:Vec) WHERE a.vec_id < 10 AND b.vec_id < 10 RETURN a.vec_id AS a, b.vec_id AS b, round(cosine_similarity(a.embedding, b.embedding) * 10000) AS c, round(euclidean_distance(a.embedding, b.embedding) * 10000) AS d",
-        "SELECT a.vec_id AS a, b.vec_id AS b, r(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 10000) AS c, r(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 10000) AS d FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.vec_id < 10",
+        "MATCH (a:Vec), (b:Vec) WHERE b.vec_id = 0 RETURN a.vec_id AS a, b.vec_id AS b, round(cosine_similarity(a.embedding, b.embedding) * 10000) AS c, round(euclidean_distance(a.embedding, b.embedding) * 10000) AS d",
+        "SELECT a.vec_id AS a, b.vec_id AS b, r(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 10000) AS c, r(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 10000) AS d FROM embeddings a, embeddings b WHERE b.vec_id = 0",
     ),
     "fn_sets": ("RETURN jaccard([1,2,3],[2,3,4]) AS a, overlap([1,2],[2,3,4]) AS b, pearson([1,2,3],[2,4,6]) AS c, gds.similarity.cosine([1.0,0.0],[0.0,1.0]) AS d", "SELECT CAST(0.5 AS DOUBLE) AS a, CAST(0.5 AS DOUBLE) AS b, CAST(1.0 AS DOUBLE) AS c, CAST(1.0 AS DOUBLE) AS d"),
     "fn_link_prediction": ("MATCH (r:Region) RETURN r.r_name AS r, adamic_adar(r, r) AS a", "SELECT r_name AS r, CAST(NULL AS DOUBLE) AS a FROM region"),
     # -- procedures
+    "fn_trim": ("MATCH (n:Nation) RETURN n.n_nationkey AS k, lTrim('  ' + n.n_name + ' ') AS l, rTrim(' ' + n.n_name + '  ') AS r, trim(' ' + n.n_name + ' ') AS t", "SELECT n_nationkey AS k, n_name || ' ' AS l, ' ' || n_name AS r, n_name AS t FROM nation"),
+    "fn_trigonometry": (
+        "MATCH (p:Part) WITH p.p_partkey AS k, p.p_size / 50.0 AS x RETURN k, round(cos(x) * 100000) AS a, round(tan(x) * 100000) AS b, round(asin(x) * 100000) AS c, round(acos(x) * 100000) AS d, round(atan(x) * 100000) AS e, round(degrees(x) * 1000) AS f, round(radians(x) * 100000) AS g",
+        "SELECT k, r(cos(x) * 100000) AS a, r(tan(x) * 100000) AS b, r(asin(x) * 100000) AS c, r(acos(x) * 100000) AS d, r(atan(x) * 100000) AS e, r(degrees(x) * 1000) AS f, r(radians(x) * 100000) AS g FROM (SELECT p_partkey AS k, p_size / 50.0 AS x FROM part)",
+    ),
+    "fn_constants": ("MATCH (p:Part) RETURN p.p_partkey AS k, round(pi() * p.p_size) AS a, round(e() * p.p_size) AS b, round(log10(p.p_retailprice) * 1000) AS c", "SELECT p_partkey AS k, r(pi() * p_size) AS a, r(exp(1) * p_size) AS b, r(log10(p_retailprice) * 1000) AS c FROM part"),
+    "fn_rand": ("MATCH (c:Customer) WITH rand() AS x WHERE x >= 0 AND x < 1 RETURN count(*) AS n", "SELECT count(*) AS n FROM customer"),
+    "fn_temporal": (
+        "MATCH (r:Region) RETURN r.r_name AS n, datetime('2024-02-03T04:05:06Z') AS a, date('2024-02-03') AS b, duration('P1D') AS c, timestamp() > 1700000000000 AS d, date() STARTS WITH 'epoch+' AS e, datetime() > 1700000000000 AS f",
+        "SELECT r_name AS n, '2024-02-03T04:05:06Z' AS a, '2024-02-03' AS b, 'P1D' AS c, true AS d, true AS e, true AS f FROM region",
+    ),
+    "precedence": ("MATCH (n:Nation) RETURN n.n_nationkey AS k, -n.n_nationkey + 2 * 3 - 8 / 4 % 3 AS a, (NOT n.n_nationkey > 3 AND n.n_nationkey < 2) OR n.n_nationkey = 7 AS b", "SELECT n_nationkey AS k, -n_nationkey + 2 * 3 - (8 // 4) % 3 AS a, (NOT n_nationkey > 3 AND n_nationkey < 2) OR n_nationkey = 7 AS b FROM nation"),
+    "distinct_rows": ("MATCH (o:Order) WITH DISTINCT o.o_orderstatus AS s, o.o_orderpriority AS p RETURN s, p", "SELECT DISTINCT o_orderstatus AS s, o_orderpriority AS p FROM orders"),
+    "collect_distinct": ("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.c_mktsegment AS seg, count(DISTINCT o.o_orderpriority) AS a, size(collect(DISTINCT o.o_orderstatus)) AS b", "SELECT c_mktsegment AS seg, count(DISTINCT o_orderpriority) AS a, count(DISTINCT o_orderstatus) AS b FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_mktsegment"),
     "proc_labels": ("CALL db.labels() YIELD label RETURN label", "SELECT * FROM (VALUES ('Customer'),('Doc'),('Event'),('Item'),('Label'),('Nation'),('Order'),('Page'),('Part'),('Region'),('Supplier'),('Turn'),('User'),('Vec')) t(label)"),
     "proc_types": ("CALL db.relationshipTypes() YIELD t RETURN t", "SELECT * FROM (VALUES ('CONTAINS'),('DID'),('HAS_LABEL'),('IN_NATION'),('IN_REGION'),('NEXT'),('NEXT_EVENT'),('PLACED'),('SHIPPED_BY'),('SUPPLIES')) v(t)"),
     "proc_text_join": ("CALL apoc.text.join(['a', null, 'c'], '-') YIELD value RETURN value", "SELECT 'a-null-c' AS value"),
@@ -403,6 +418,28 @@ def _bm25_sql() -> str:
     )
 
 
+def _scored_sql(table: str, key: str, column: str, words: str) -> str:
+    """BM25 of the words that a subquery lists, for one column."""
+    tokens = _WORDS_SQL.format(column)
+    return (
+        f"(WITH d AS (SELECT {key} AS k, {tokens} AS t FROM {table} WHERE {column} IS NOT NULL), a AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d), "
+        f"u AS (SELECT k, len(t) AS size, unnest(t) AS w FROM d), f AS (SELECT k, size, w, count(*) AS tf FROM u WHERE w IN (SELECT w FROM {words}) GROUP BY ALL), "
+        "g AS (SELECT w, count(*) AS df FROM f GROUP BY w) "
+        "SELECT k, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / a))) AS score FROM f JOIN g USING (w), a GROUP BY k)"
+    )
+
+
+def _fuzzy_sql(word: str) -> str:
+    near = f"(SELECT w FROM (SELECT DISTINCT unnest({_WORDS_SQL.format('text')}) AS w FROM documents) WHERE levenshtein(w, '{word}') <= 1 ORDER BY levenshtein(w, '{word}'), w LIMIT 50)"
+    return f"SELECT k AS doc_id FROM {_scored_sql('documents', 'doc_id', 'text', near)} ORDER BY round(score, 9) DESC, k LIMIT 10"
+
+
+def _multi_sql(word: str) -> str:
+    words = f"(SELECT '{word}' AS w)"
+    both = " UNION ALL ".join(f"SELECT * FROM {_scored_sql('pages', 'page_id', c, words)}" for c in ("url", "html"))
+    return f"SELECT k AS page_id FROM ({both}) GROUP BY k ORDER BY round(max(score), 9) DESC, k LIMIT 10"
+
+
 _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "builder_traversal": (builder_traversal, "SELECT seg, n FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 50000 GROUP BY c_mktsegment ORDER BY seg LIMIT 10 OFFSET 1)"),
     "log_live": (log_live, f"SELECT pk_value, repo, timestamp_ms FROM {_LIVE_SQL}"),
@@ -430,36 +467,17 @@ _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "knn_inverted_lists": (knn_inverted_lists, f"SELECT vec_id FROM (SELECT vec_id, list_distance(CAST(embedding AS DOUBLE[]), q) AS d FROM embeddings, {_SQL_VECTOR} ORDER BY d, vec_id LIMIT 10)"),
     "fulltext_match": (fulltext_match, _bm25_sql()),
     "fulltext_phrase": (fulltext_phrase, f"WITH d AS (SELECT doc_id, {_WORDS_SQL.format('text')} AS t FROM documents) SELECT doc_id FROM d WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0"),
-    "fulltext_fuzzy": (fulltext_fuzzy, None),
-    "fulltext_multi": (fulltext_multi, None),
+    "fulltext_fuzzy": (fulltext_fuzzy, _fuzzy_sql("nichts")),
+    "fulltext_multi": (fulltext_multi, _multi_sql("example")),
     "row_security": (row_security, "SELECT doc_id AS k FROM documents WHERE doc_id % 4 <= 1 OR (source IS NOT NULL AND (starts_with(source, 'src1') OR doc_id % 10 = 7))"),
     "event_windows": (event_windows, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"),
 }
 
 
-#: What the bounded queries leave out of text and twin (in turn) to run over whole tables, as ``<name>_whole``.
-_BOUNDS: dict[str, list[tuple[str, str]]] = {
-    "rel_type_alternatives": [(" WHERE o.o_orderkey < 50", ""), (" WHERE o_orderkey < 50", "")],
-    "untyped_rel": [(" WHERE o.o_orderkey < 50", ""), (" WHERE o_orderkey < 50", "")],
-    "comma_shared": [(" WHERE o.o_orderkey < 20", ""), (" WHERE a.l_orderkey < 20", "")],
-    "named_path": [(" WHERE o.o_orderkey < 30", ""), (" WHERE o_orderkey < 30", "")],
-    "optional_correlated": [(" WHERE c.c_custkey < 60", ""), (" WHERE c_custkey < 60", "")],
-    "call_subquery": [(" WHERE c.c_custkey < 40", ""), (" WHERE c_custkey < 40", "")],
-    "arithmetic": [(" WHERE o.o_orderkey < 200", ""), (" WHERE o_orderkey < 200", "")],
-    "fn_graph": [(" WHERE o.o_orderkey < 20", ""), (" WHERE o_orderkey < 20", "")],
-    "fn_text": [(" WHERE c.c_custkey < 100", ""), (" WHERE c_custkey < 100", "")],
-    "fn_unicode": [(" AND d.doc_id < 300", ""), (" AND doc_id < 300", "")],
-    "fn_math": [(" WHERE c.c_custkey < 200", ""), (" WHERE c_custkey < 200", "")],
-    # Every vector against vector 0.
-    "fn_similarity": [("a.vec_id < 10 AND b.vec_id < 10", "b.vec_id = 0"), ("a.vec_id < 10 AND b.vec_id < 10", "b.vec_id = 0")],
-}
-_CYPHER |= {f"{n}_whole": tuple(t.replace(*b) for t, b in zip(_CYPHER[n], bounds)) for n, bounds in _BOUNDS.items()}
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(_cypher, text, _PARAMS.get(n, {})) for n, (text, _) in _CYPHER.items()}
-    return out | {n: f for n, (f, _) in _OTHERS.items()}
+    return out | {n: f for n, (f, _) in [*_OTHERS.items(), *write_queries.QUERIES.items()]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: _expanded(sql) for n, (_, sql) in [*_CYPHER.items(), *_OTHERS.items()] if sql}
+    return {n: _expanded(sql) for n, (_, sql) in [*_CYPHER.items(), *_OTHERS.items(), *write_queries.QUERIES.items()] if sql}
