@@ -258,6 +258,30 @@ def test_html(spark):
     assert html_main.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "part", ["<div ", "<div class='", "<a \"", "<div>x", "<div></p></section>", "<div><li></li>", "<ul><li><div>", "<!-- ", "<!x", "<script", "<p>a, b", "< \"", "&amp;", "<li>x", "</div>", "<table><tr><td>x"]
+)
+def test_html_of_any_shape_takes_linear_time(part):
+    import time
+
+    tail = "\">\""
+    took = []
+    for n in (100_000, 1_000_000):
+        began = time.process_time()
+        html_main.extract(part * (n // len(part)) + tail)
+        took.append(time.process_time() - began)
+    assert took[1] < max(3.0, 30 * took[0])
+
+
+def test_html_keeps_lists_of_links_in_articles():
+    body = "".join(f"<p>Paragraph {i}, with words, and commas, to be long enough to count.</p>" for i in range(4))
+    refs = "<h2>Sources</h2><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul>"
+    assert html_main.extract(f"<article>{body}{refs}</article>").endswith("Sources\n\nFirst source\n\nSecond source")
+    assert "First source" not in html_main.extract(f"<div>{body}</div><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul>")
+    assert html_main.extract("<div title=\"a>b\">x</div>") == "x" and html_main.extract("1 < 2 <b>and</b> 3<") == "1 < 2 and 3<"
+    assert html_main.extract("<p>x<p title='open>y") == "x y" or html_main.extract("<p>x<p title='open>y") == "x\n\ny"
+
+
 KINDS = {
     "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 8),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),

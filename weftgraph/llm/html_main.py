@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
-    re.S | re.I,
-)
+_RAW = frozenset("script style noscript template textarea title svg iframe select".split())
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
+_MARKS = re.compile("[>\"']")
 _ATTRS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?=\s|$|/))", re.I)
 _WHITE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,17 +33,17 @@ _BAD = re.compile(
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: What an opening tag closes, up to the scope's border.
-_CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dd": (("dd", "dt"), {"dl"}), "dt": (("dd", "dt"), {"dl"}),
-           "td": (("td", "th"), {"table", "tr"}), "th": (("td", "th"), {"table", "tr"}), "tr": ("tr", {"table"}), "option": ("option", {"select"})}
+_CLOSES = {"li": (("li",), {"ul", "ol", "menu"}), "dd": (("dd", "dt"), {"dl"}), "dt": (("dd", "dt"), {"dl"}),
+           "td": (("td", "th"), {"table", "tr"}), "th": (("td", "th"), {"table", "tr"}), "tr": (("tr",), {"table"}), "option": (("option",), {"select"})}
 
 
 class _Node:
-    __slots__ = ("tag", "up", "bad", "score", "own", "linked", "commas", "kids")
+    __slots__ = ("tag", "up", "bad", "score", "below", "own", "linked", "kids")
 
     def __init__(self, tag, up, bad):
         self.tag, self.up, self.bad = tag, up, bad
-        self.score = 0.0
-        self.own = self.linked = self.commas = 0
+        self.score = self.below = 0.0
+        self.own = self.linked = 0
         self.kids = []
 
 
@@ -68,17 +68,83 @@ def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def _tag_ends(html: str) -> tuple[list[int], list[int]]:
+    """Places of ``>`` and quotes, and for each the end of a tag that goes on there outside quotes (-1: it never ends).
+
+    A quote that is not closed counts as any other character. Told from the page's
+    end backwards, so each mark is looked at once.
+    """
+    at = [m.start() for m in _MARKS.finditer(html)]
+    ends = [-1] * (len(at) + 1)
+    later: dict[str, int] = {}
+    for k in range(len(at) - 1, -1, -1):
+        c = html[at[k]]
+        if c == ">":
+            ends[k] = at[k]
+        else:
+            ends[k] = ends[later.get(c, k) + 1]
+            later[c] = k
+    return at, ends
+
+
+def _tokens(html: str):
+    """Text as (None, text), and tags as (name, whether it closes, attributes); one pass forward.
+
+    What stands between is left out: comments, declarations and elements whose content
+    is no text. A ``<`` that starts none of these, or a tag that never ends, is text.
+    """
+    marks, ends = _tag_ends(html)
+    last = html.rfind(">")
+    pos, n, mark = 0, len(html), 0
+    while pos < n:
+        lt = html.find("<", pos)
+        if lt != pos:
+            yield None, html[pos : lt if lt >= 0 else n], ""
+            if lt < 0:
+                return
+            pos = lt
+        if html.startswith("<!--", pos):
+            end = html.find("-->", pos + 4)
+            pos = n if end < 0 else end + 3
+            continue
+        m = _NAME.match(html, pos + 1)
+        if m is None:
+            if html[pos + 1 : pos + 2] in ("!", "?") and last > pos:
+                pos = html.find(">", pos) + 1
+                continue
+            yield None, "<", ""
+            pos += 1
+            continue
+        while mark < len(marks) and marks[mark] < m.end():
+            mark += 1
+        end = ends[mark]
+        if end < 0:
+            yield None, "<", ""
+            pos += 1
+            continue
+        name = m[2].lower()
+        pos = end + 1
+        if name in _RAW and not m[1]:
+            close = _ENDS[name].search(html, pos)
+            pos = n if close is None else close.end()
+            continue
+        yield name, bool(m[1]), html[m.end() : end]
+
+
 def extract(html: str | None) -> str:
     """The main text of a page: blocks in page order, joined by a blank line.
 
     A null, empty or text-free page gives an empty text. Work grows in proportion
-    to the page: one pass over the tags, then one over the blocks; how deep a page
-    nests only bounds the ancestors that a block gives points to.
+    to the page, however it nests and whatever it leaves open: one pass over the tags,
+    one over the elements from the last to the first, which hands points and lengths
+    to the one above, and one over the blocks.
     """
     if not html:
         return ""
     root = _Node("html", None, False)
     stack = [root]  # open elements that are blocks
+    made = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # where on the stack each kind stands
     blocks: list[tuple[_Node, str, int, int]] = []
     text: list[str] = []
     links = 0
@@ -101,30 +167,23 @@ def extract(html: str | None) -> str:
         flush()
         for x in stack[k:]:
             articles -= x.tag == "article"
+            places[x.tag].pop()
         del stack[k:]
 
-    for m in _TOKEN.finditer(html):
-        words = m[5]
-        if words is not None:
-            text.append(words)
-            if links:
-                inlinks.append(words)
-            continue
-        tag = m[3]
+    for tag, closes, attrs in _tokens(html):
         if tag is None:
+            text.append(closes)
+            if links:
+                inlinks.append(closes)
             continue
-        tag = tag.lower()
-        if m[2]:
+        if closes:
             if tag == "a":
                 links = 0
             elif tag in _BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        pop_to(k)
-                        break
-                else:
-                    if tag == "p":
-                        flush()
+                if places[tag]:
+                    pop_to(places[tag][-1])
+                elif tag == "p":
+                    flush()
             continue
         if tag == "br" or tag == "hr":
             text.append("\n")
@@ -137,25 +196,24 @@ def extract(html: str | None) -> str:
         if tag not in _BLOCK:
             continue
         flush()
-        if tag in ("html", "body") and len(stack) > 1 and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and len(stack) > 1 and (tag == "html" or places[tag]):
             continue
         links = 0
         if tag in _CLOSES:
             what, until = _CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in until:
-                    break
-                if stack[k].tag == what or stack[k].tag in what and what.__class__ is tuple:
-                    pop_to(k)
-                    break
+            open_at = max((places[w][-1] for w in what if places[w]), default=0)
+            if open_at > max((places[u][-1] for u in until if places[u]), default=0):
+                pop_to(open_at)
         elif tag == "p" or tag in _HEADINGS or tag in ("ul", "ol", "div", "section", "article", "table", "blockquote", "pre"):
             if stack[-1].tag == "p" or (stack[-1].tag in _HEADINGS and tag in _HEADINGS):
                 pop_to(len(stack) - 1)
         up = stack[-1]
-        node = _Node(tag, up, up.bad or _is_bad(tag, m[4], articles > 0))
-        articles += tag == "article"
+        node = _Node(tag, up, up.bad or _is_bad(tag, attrs, articles > 0))
         up.kids.append(node)
-        if not m[4].endswith("/") or tag not in _VOID:
+        made.append(node)
+        if not attrs.endswith("/") or tag not in _VOID:
+            articles += tag == "article"
+            places[tag].append(len(stack))
             stack.append(node)
     flush()
     if not blocks:
@@ -166,16 +224,19 @@ def extract(html: str | None) -> str:
         if node.tag in _PARAGRAPHS or node.tag in ("html", "body"):
             points = 1 + commas + min(n / 100, 3)
             points *= 1 - linked / n
-            share, up, step = 1.0, node.up if node.tag in ("p", "li", "td", "th", "dd", "dt", "pre", "figcaption", "blockquote") else node, 0
-            while up is not None and step < 8:
-                up.score += points * share
-                up, step = up.up, step + 1
-                share = 0.5 if step == 1 else share / 1.5
-        x = node
-        while x is not None:
-            x.own += n
-            x.linked += linked
-            x = x.up
+            up = node.up if node.tag in ("p", "li", "td", "th", "dd", "dt", "pre", "figcaption", "blockquote") else node
+            if up is not None:
+                up.score += points
+        node.own += n
+        node.linked += linked
+    # What an element was given whole goes on by half, what came from below by two thirds.
+    for x in reversed(made):
+        up = x.up
+        if up is not None:
+            up.below += x.score / 2 + x.below / 1.5
+            up.own += x.own
+            up.linked += x.linked
+        x.score += x.below
     seen: dict[int, _Node] = {}
     for node, *_ in blocks:
         x = node
@@ -221,7 +282,9 @@ def extract(html: str | None) -> str:
             x = x.up
         for k in path:
             kept[k] = inside
-        if inside and not (linked == n and node.tag == "li"):
+        # A list of links beside the text is a menu; in an article it is part of it.
+        menu = node.tag == "li" and linked == n and best.tag not in ("article", "main") and node.up.linked > 0.8 * node.up.own
+        if inside and not menu:
             out.append(plain)
     return "\n\n".join(out)
 
