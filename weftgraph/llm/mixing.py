@@ -34,8 +34,8 @@ def rates(docs: DataFrame, source: str, text: str, weights: dict[str, float] | N
     is not named); else its share is in proportion to its characters to the power
     ``alpha``. A source without characters keeps the mean ``epochs``.
     """
-    by_source = docs.groupBy(F.col(source).alias("_source")).agg(
-        F.sum(F.length(F.coalesce(F.col(text), F.lit(""))).cast("double")).alias("chars")
+    by_source = docs.select(F.col(source).alias("_source"), F.col(text).alias("_text")).groupBy("_source").agg(
+        F.sum(F.length(F.coalesce(F.col("_text"), F.lit(""))).cast("double")).alias("chars")
     )
     by_source, _ = cut(by_source)
     if weights is None:
@@ -78,7 +78,8 @@ def mix(
     count wherever they are, and a rerun gives the same rows. Adds ``copy`` (from 1)
     and ``shuffle_key``; every partition holds a random share of the rows in random
     order. A null source is a source; a null key draws as the text 'null'; columns
-    named as the new ones are replaced; an empty table gives none.
+    named as the new ones are replaced, all others pass through, whatever their names;
+    repeated rows are drawn alike; an empty table gives none.
 
     Documents are never grouped by source: the rates come from a partial aggregation
     and are joined to the rows, by broadcast while the sources number at most
@@ -89,13 +90,14 @@ def mix(
     table, _ = cut(rates(docs, source, text, weights, alpha, epochs))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    rows = docs.join(table, docs[source].eqNullSafe(table["_source"]), "inner")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(source).alias("_of"), F.col(key).alias("_key"))
+    rows = rows.join(table, F.col("_of").eqNullSafe(F.col("_source")), "inner")
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("draws")),
         F.lit(0),
-        lambda n, d: n + F.size(F.filter("cdf", lambda x: x <= uniform(F.lit(seed), F.col(key), d))),
+        lambda n, d: n + F.size(F.filter("cdf", lambda x: x <= uniform(F.lit(seed), F.col("_key"), d))),
     )
     rows = rows.withColumn("_n", F.when(F.col("mean") > 0, count).otherwise(0)).where("_n > 0")
-    rows = rows.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    rows = rows.withColumn("shuffle_key", hashed(F.lit(seed), F.col(key), F.col("copy"), F.lit("order")))
+    rows = rows.select("_row", "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    rows = rows.select(*[F.col("_row")[c].alias(c) for c in names], "copy", hashed(F.lit(seed), F.col("_key"), F.col("copy"), F.lit("order")).alias("shuffle_key"))
     return rows.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", "copy")

@@ -18,6 +18,33 @@ SCOPE = 200
 _KINDS = ("assign", "access", "hex", "key", "endpoint")
 
 
+#: Elements up to which an array is folded in one go.
+_FEW = 64
+
+
+def _running(values: Column, merge) -> Column:
+    """For each element of an array of int what ``merge`` makes of 0 and all before it.
+
+    A fold copies its array at every step; long arrays are folded in pieces of about
+    the root of their length, so the work stays far from the square of it.
+    """
+
+    def fold(some, start):
+        end = F.aggregate(
+            some,
+            F.struct(start.alias("v"), F.array().cast("array<int>").alias("out")),
+            lambda acc, x: F.struct(merge(acc["v"], x).alias("v"), F.concat(acc["out"], F.array(acc["v"])).alias("out")),
+        )
+        return end["out"]
+
+    n = F.size(values)
+    size = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1), lambda k: F.slice(values, k * size + 1, size))
+    starts = fold(F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), merge)), F.lit(0))
+    long = F.flatten(F.zip_with(pieces, starts, fold))
+    return F.when(n > _FEW, long).otherwise(fold(values, F.lit(0)))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as structs of start and end in code points.
 
@@ -26,21 +53,9 @@ def _matches(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    sizes = F.zip_with(
-        F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("a"), F.length(b).alias("b"))
-    )
-    start = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["a"] + x["b"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + x["a"]).alias("s"), (acc["at"] + x["a"] + x["b"]).alias("e"))),
-            ).alias("out"),
-        ),
-    )
-    return start["out"]
+    sizes = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("a"), F.length(b).alias("b")))
+    before = _running(F.transform(sizes, lambda x: x["a"] + x["b"]), lambda v, x: v + x)
+    return F.zip_with(before, sizes, lambda v, x: F.struct((v + x["a"]).alias("s"), (v + x["a"] + x["b"]).alias("e")))
 
 
 _NONE = "array<struct<s:int,e:int>>"
@@ -175,25 +190,23 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; spans that overlap get one mark.
 
-    A null text stays null. Documents without spans are left as they are.
+    A null text stays null. Documents without spans are left as they are, and so are
+    all other columns, whatever their names.
     """
-    names = docs.columns
     found = _found(docs, key, text, SCOPE).where(F.size("spans") > 0)
-    found = found.select(*["f" + n for n in _ROW], F.transform(F.array_sort("spans"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("_spans"))
-    same = F.col(key).eqNullSafe(F.col("f_key")) & (F.xxhash64(F.col(text)) == F.col("f_h1")) & (F.xxhash64(F.lit(7), F.col(text)) == F.col("f_h2"))
-    joined = docs.join(found, same, "left")
-    built = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(
-            x["s"] >= acc["at"],
-            F.struct(
-                x["e"].alias("at"),
-                F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))),
-    )
-    whole = F.concat(built["out"], F.substring(F.col(text), built["at"] + 1, F.length(text)))
-    return joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), whole).otherwise(F.col(text))).select(
-        *[F.col("_new").alias(c) if c == text else F.col(f"`{c}`") for c in names]
-    )
+    found = found.select(*["f" + n for n in _ROW], F.transform(F.array_sort("spans"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_key"), *_content(text))
+    joined = rows.join(found, [rows[n].eqNullSafe(found["f" + n]) for n in _ROW], "left")
+    whole, spans = F.col("row")[text], F.col("spans")
+    before = _running(F.transform(spans, lambda x: x["e"]), lambda v, x: F.greatest(v, x))
+
+    def built(cut_out):
+        """What stands before each span that starts beyond all before it, and a mark; then the rest."""
+        kept = F.zip_with(before, spans, lambda v, x: F.when(x["s"] >= v, F.concat(cut_out(v, x["s"] - v), F.lit(mark))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(spans, lambda x: x["e"]))
+        return F.concat(F.array_join(kept, ""), cut_out(last, F.length(whole)))
+
+    letters = F.split(whole, "")
+    new = F.when(F.size(spans) > _FEW, built(lambda a, n: F.array_join(F.slice(letters, a + 1, n), ""))).otherwise(built(lambda a, n: F.substring(whole, a + 1, n)))
+    out = F.when(spans.isNotNull(), new).otherwise(whole)
+    return joined.select(*[(out if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
