@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import cut, groups, split_hot
+from .common import cut, forget, groups, split_hot
 from .components import connected_components
+from .passages import _all_shingles, _raw
 
 #: Most differing bits of a link, words of a shingle, bits of a segment.
 BITS, WORDS, SEGMENT = 4, 4, 2
@@ -19,6 +22,8 @@ BITS, WORDS, SEGMENT = 4, 4, 2
 BLOCKS = 6
 #: Rows of a cell that one task compares with each other.
 CELL = 4096
+#: Of the deduplication of documents: words of a shingle, bits between candidates, similarity, texts of a group that one task compares.
+STAGE_WORDS, STAGE_BITS, SIMILAR, GROUP = 5, 14, 0.8, 2048
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_text: bool = True) -> DataFrame:
@@ -70,6 +75,13 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_t
     return rows.mapInArrow(run, schema)
 
 
+def _counts():
+    """Bit counts of all two-bit segments of ``fp``, side by side in their own two bits."""
+    odd = 0x5555555555555555
+    low, high = F.col("fp").bitwiseAND(F.lit(odd)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(odd))
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
 def _cells(fps: DataFrame) -> DataFrame:
     """Each fingerprint in the grid cells of its embedding.
 
@@ -79,10 +91,6 @@ def _cells(fps: DataFrame) -> DataFrame:
     all: the pair shares the cell of some BLOCKS - BITS whole blocks. There is one
     grid for each choice of those.
     """
-    odd = 0x5555555555555555
-    low, high = F.col("fp").bitwiseAND(F.lit(odd)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(odd))
-    # Bit counts of all two-bit segments, side by side in their own two bits.
-    counts = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
     n = 64 // SEGMENT
     edges = [round(b * n / BLOCKS) * SEGMENT for b in range(BLOCKS + 1)]
 
@@ -97,7 +105,26 @@ def _cells(fps: DataFrame) -> DataFrame:
         for b in blocks:
             key = F.shiftleft(key, edges[b + 1] - edges[b]).bitwiseOR(block(b))
         cells.append(key)
-    return fps.select("fp", counts.alias("_counts")).select("fp", F.explode(F.array(*cells)).alias("cell"))
+    return fps.select("fp", _counts().alias("_counts")).select("fp", F.explode(F.array(*cells)).alias("cell"))
+
+
+def _wide_cells(fps: DataFrame, rows: int, bits: int) -> DataFrame:
+    """Each fingerprint in cells of grids over some of the segments, for links of more bits than whole blocks can stand.
+
+    How many segments a grid takes follows from the number of ``rows``, so a cell holds
+    some hundred of them at any size; how many grids there are follows from the chance
+    that two fingerprints at the farthest that is asked agree in all of a grid.
+    """
+    p = bits / 64
+    alike = (1 - p) ** 2 + p * p / 2  # a segment counts the same: no bit moved, or both and crosswise
+    each = min(64 // SEGMENT, max(3, math.ceil(math.log2(max(2, rows / 200)) / 1.5)))
+    grids = math.ceil(math.log(0.05) / math.log1p(-(alike**each)))
+    rng = np.random.default_rng(64)
+    cells = []
+    for g in range(grids):
+        mask = sum(3 << (SEGMENT * int(k)) for k in rng.choice(64 // SEGMENT, each, replace=False))
+        cells.append(F.xxhash64(F.lit(g), F.col("_counts").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    return fps.select("fp", _counts().alias("_counts")).select("fp", F.explode(F.array(*cells)).alias("cell"))
 
 
 def _reached(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,12 +166,14 @@ def _reached(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges ``a``, ``b`` that connect all fingerprints (distinct longs) within ``bits`` of each other.
 
+    Up to BITS bits none is lost; for more bits the grids are random ones, and pairs at
+    the farthest are found with a chance of 95 % (nearer ones with a higher one).
+
     Cells with over CELL rows are dealt out as pairs of blocks, so a task holds two
     blocks at most and every pair of fingerprints that shares a cell still meets.
     """
-    if bits >= BLOCKS:
-        raise ValueError("more bits than the grids are made for")
-    dealt = split_hot(_cells(fps), ["cell"], F.xxhash64("fp"), CELL)
+    cells = _cells(fps) if bits <= BITS else _wide_cells(fps, fps.count(), bits)
+    dealt = split_hot(cells, ["cell"], F.xxhash64("fp"), CELL)
     dealt = dealt.select("cell", "_b0", "_b1", "fp").repartition("cell", "_b0", "_b1").sortWithinPartitions("cell", "_b0", "_b1")
 
     def run(batches):
@@ -187,21 +216,102 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return _labelled(docs, key, text).select(F.col("_key").alias(key), "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest key (of rows that share it, one).
+def _jaccard(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets are at least so similar; two empty ones are."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    if not len(a):
+        return True
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int(np.count_nonzero(b[at] == a))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The set of five-word shingles of each text (fewer words: the whole sequence; none: empty) as sorted hashes."""
+    raw = _raw(texts)
+    sh, begin = _all_shingles(raw)
+    out = [np.unique(sh[x:y]) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
+    for k, r in enumerate(raw):
+        if not len(out[k]) and (w := r.split()):
+            out[k] = np.array([xxhash.xxh32_intdigest(b" ".join(w))], dtype=np.uint32)
+    return out
+
+
+def _led(rows: DataFrame, similar: float) -> DataFrame:
+    """Of the rows of each ``g``, in their order, those that are similar to none that was kept before them.
+
+    A group streams through: only the sets of kept rows are held.
+    """
+    kind = rows.schema["_key"].dataType.simpleString()
+    names = ["g", "root", "_n", "_key", "_h1", "_h2"]
+    dealt = rows.repartition("g").sortWithinPartitions("g", F.col("_key").asc_nulls_last(), "_h1", "_h2")
+
+    def run(batches):
+        now, kept = None, []
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                given = part.column(7).to_pylist()
+                fresh = _sets([None if p is not None else t for p, t in zip(given, part.column(6).to_pylist())])
+                sets = [np.frombuffer(p, dtype=np.uint32) if p is not None else x for p, x in zip(given, fresh)]
+                stay = []
+                for k, g in enumerate(part.column(0).to_pylist()):
+                    if g != now:
+                        now, kept = g, []
+                    if not any(_jaccard(sets[k], x, similar) for x in kept):
+                        kept.append(sets[k])
+                        stay.append(k)
+                if stay:
+                    out = part.take(pa.array(stay))
+                    yield pa.RecordBatch.from_arrays([*out.columns[:6], pa.array([sets[k].tobytes() for k in stay], pa.binary())], [*names, "_set"])
+
+    return dealt.select(*names, "_text", "_set").mapInArrow(run, f"g long, root long, _n long, _key {kind}, _h1 long, _h2 long, _set binary")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, bits: int = STAGE_BITS, similar: float = SIMILAR) -> DataFrame:
+    """One document of each group of near copies: texts whose sets of five-word shingles have a Jaccard similarity of ``similar`` or more.
 
-    Rows are told apart by key and content, so components whose documents have no
-    key, or share one, each keep theirs. Only keys and hashes are compared with the
-    components; texts are shuffled once, by them.
+    Fingerprints of five-word shingles within ``bits`` of each other make candidate
+    groups; in each, documents are kept in the order of their keys (null last), and one
+    goes only if it is similar to a kept one, which is verified on the whole texts.
+    Groups of over GROUP texts are dealt out in blocks first, and what the blocks keep
+    is held against each other; so every document that goes was similar to one before
+    it. Equal texts are one (of rows that share key and text, one stays); null and
+    empty texts are equal. A document without a near copy always stays. Documents are
+    told apart by key and content; all columns pass through, whatever their names.
     """
+    spark = docs.sparkSession
     row = ["_key", "_h1", "_h2"]
-    rows = _labelled(docs, key, text).where(F.col("_key").eqNullSafe(F.col("component_id")))
-    least = rows.groupBy("root").agg(F.min(F.struct("_h1", "_h2")).alias("x"), F.first("_key").alias("_key"), F.count(F.lit(1)).alias("_n"))
-    found, _ = cut(least.select("_key", "x.*", "_n"))
+    plain = F.coalesce(F.col(text), F.lit(""))
+    named = [F.col(key).alias("_key"), F.xxhash64(plain).alias("_h1"), F.xxhash64(F.lit(7), plain).alias("_h2"), plain.alias("_text")]
+    slim = docs.select(*named)
+    rows, rows_path = cut(fingerprints(slim, "_text", words, keep_text=False))
+    once = rows.groupBy(*row).agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"))
+    least = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "n")).alias("x")
+    contents, contents_path = cut(once.groupBy("_h1", "_h2").agg(least, F.first("fp").alias("fp")).select("_h1", "_h2", "x._key", F.col("x.n").alias("_n"), "fp"))
+    roots = connected_components(links(contents.select("fp").distinct(), bits)).withColumnRenamed("id", "fp")
+    labelled = contents.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    sizes = labelled.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    labelled, labelled_path = cut(labelled.join(sizes, "root").select(*row, "_n", "root", "size"))
+    forget(spark, rows_path)
+    forget(spark, contents_path)
+    several = labelled.where("size > 1").select(*[F.col(n).alias("m" + n) for n in row], "_n", "root", F.ceil(F.col("size") / GROUP).alias("blocks"))
+    texts = slim.join(several, [slim[n].eqNullSafe(several["m" + n]) for n in row])
+    block = F.pmod(F.xxhash64("_h2"), F.col("blocks"))
+    texts = texts.select(F.xxhash64("root", block).alias("g"), "root", "_n", *row, "_text", F.lit(None).cast("binary").alias("_set"), "blocks")
+    led, led_path = cut(_led(texts, similar))
+    split = labelled.where(F.col("size") > GROUP).select("root").distinct()
+    again = led.join(split, "root").select(F.xxhash64(F.lit(1), "root").alias("g"), "root", "_n", *row, F.lit(None).cast("string").alias("_text"), "_set")
+    whole = led.join(split, "root", "left_anti")
+    stay = labelled.where("size = 1").select(*row, "_n").unionByName(whole.select(*row, "_n")).unionByName(_led(again, similar).select(*row, "_n"))
+    found, _ = cut(stay)
+    forget(spark, led_path)
+    forget(spark, labelled_path)
     kept = found.select(*[F.col(n).alias("k" + n) for n in row])
     names = docs.columns
-    out = docs.withColumns({"_key": F.col(key), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), F.col(text))})
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *named[:3])
     out = out.join(kept, [out[n].eqNullSafe(kept["k" + n]) for n in row], "left_semi")
     if not found.where("_n > 1").isEmpty():
         out = out.dropDuplicates(row)
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    return out.select(*[F.col("_row")[c].alias(c) for c in names])
