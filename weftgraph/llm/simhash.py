@@ -22,11 +22,11 @@ BITS, WORDS, SEGMENT = 4, 4, 2
 BLOCKS = 6
 #: Rows of a cell that one task compares with each other.
 CELL = 4096
-#: Of the deduplication of documents: words of a shingle, bits between candidates, similarity, texts of a group that one task compares.
-STAGE_WORDS, STAGE_BITS, SIMILAR, GROUP = 5, 14, 0.8, 2048
+#: Of the deduplication of documents: words of a shingle, bits (of 128) between candidates, similarity, texts of a group that one task compares.
+STAGE_WORDS, STAGE_BITS, SIMILAR, GROUP = 5, 28, 0.8, 2048
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_text: bool = True) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_text: bool = True, wide: bool = False) -> DataFrame:
     """``docs`` with ``fp`` (long): the majority bits of the XXH64 of all word shingles.
 
     A-Z is lower-cased, words are runs without ASCII white space, shingles are
@@ -51,7 +51,11 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_t
     if not keep_text:
         docs, rows = docs.drop(text), rows.drop(text)
     schema = T.StructType(list(docs.schema.fields)).add("fp", "long")
-    weights = (np.uint64(1) << np.arange(64, dtype=np.uint64))[::-1]
+    if wide:
+        schema = schema.add("fq", "long")
+
+    def bits_of(h: np.ndarray) -> np.ndarray:
+        return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1)
 
     def run(batches):
         for batch in batches:
@@ -59,22 +63,33 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_t
             starts = column.offsets.to_numpy()
             values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
             valid = column.is_valid().to_numpy(zero_copy_only=False)
-            out = np.zeros(batch.num_rows, dtype=np.int64)
+            out = np.zeros((batch.num_rows, 1 + wide), dtype=np.int64)
             for i in range(batch.num_rows):
                 h = values[starts[i] : starts[i + 1]] if valid[i] else values[:0]
                 if not len(h):
                     continue
-                count = np.zeros(64, dtype=np.int64)
+                count = np.zeros(64 * (1 + wide), dtype=np.int64)
                 for a in range(0, len(h), 1 << 16):
-                    piece = h[a : a + (1 << 16)]
-                    count += np.unpackbits(piece.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-                bits = (2 * count > len(h)).astype(np.uint64)
-                out[i] = np.bitwise_or.reduce(bits * weights).astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "fp"])
+                    piece = h[a : a + (1 << 16), None]
+                    if wide:
+                        piece = np.concatenate((piece, _other(piece)), axis=1)
+                    count += bits_of(piece).sum(axis=0, dtype=np.int64)
+                bits = 2 * count > len(h)
+                if wide:
+                    least = h.min()[None, None]
+                    bits |= (2 * count == len(h)) & (bits_of(np.concatenate((least, _other(least)), axis=1))[0] > 0)
+                out[i] = np.packbits(bits).view(">u8").astype(np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(out[:, k]) for k in range(1 + wide)]], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def _other(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        return h ^ (h >> np.uint64(27))
+
+
 def _counts():
     """Bit counts of all two-bit segments of ``fp``, side by side in their own two bits."""
     odd = 0x5555555555555555
@@ -108,14 +123,14 @@ def _cells(fps: DataFrame) -> DataFrame:
     return fps.select("fp", _counts().alias("_counts")).select("fp", F.explode(F.array(*cells)).alias("cell"))
 
 
-def _wide_cells(fps: DataFrame, rows: int, bits: int) -> DataFrame:
+def _wide_cells(fps: DataFrame, rows: int, similar: float) -> DataFrame:
     """Each fingerprint in cells of grids over some of the segments, for links of more bits than whole blocks can stand.
 
     How many segments a grid takes follows from the number of ``rows``, so a cell holds
     some hundred of them at any size; how many grids there are follows from the chance
-    that two fingerprints at the farthest that is asked agree in all of a grid.
+    that two texts that are just ``similar`` agree in all segments of a grid.
     """
-    p = bits / 64
+    p = math.acos(2 * similar / (1 + similar)) / math.pi  # the share of bits in which they differ
     alike = (1 - p) ** 2 + p * p / 2  # a segment counts the same: no bit moved, or both and crosswise
     each = min(64 // SEGMENT, max(3, math.ceil(math.log2(max(2, rows / 200)) / 1.5)))
     grids = math.ceil(math.log(0.05) / math.log1p(-(alike**each)))
@@ -124,7 +139,64 @@ def _wide_cells(fps: DataFrame, rows: int, bits: int) -> DataFrame:
     for g in range(grids):
         mask = sum(3 << (SEGMENT * int(k)) for k in rng.choice(64 // SEGMENT, each, replace=False))
         cells.append(F.xxhash64(F.lit(g), F.col("_counts").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return fps.select("fp", _counts().alias("_counts")).select("fp", F.explode(F.array(*cells)).alias("cell"))
+    return fps.select("fp", "fq", _counts().alias("_counts")).select("fp", "fq", F.explode(F.array(*cells)).alias("cell"))
+
+
+def _spanned(fp: np.ndarray, fq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a cell (wide fingerprints) that links inside it connect, each with the first one of its group, as places."""
+    total = np.bitwise_count(fp).astype(np.int16) + np.bitwise_count(fq)
+    rest = np.argsort(total, kind="stable")
+    total = total[rest]
+    child, root = [], []
+    while len(rest) > 1:
+        start, front = rest[0], [rest[0]]
+        rest, total = rest[1:], total[1:]
+        while front and len(rest):
+            v = front.pop()
+            t = int(np.bitwise_count(fp[v])) + int(np.bitwise_count(fq[v]))
+            a, b = np.searchsorted(total, t - bits, "left"), np.searchsorted(total, t + bits, "right")
+            some = rest[a:b]
+            hit = np.nonzero(np.bitwise_count(fp[some] ^ fp[v]) + np.bitwise_count(fq[some] ^ fq[v]) <= bits)[0]
+            if len(hit):
+                new = some[hit]
+                child.append(new)
+                root.append(np.full(len(new), start))
+                front.extend(new)
+                keep = np.ones(len(rest), dtype=bool)
+                keep[a + hit] = False
+                rest, total = rest[keep], total[keep]
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(child), np.concatenate(root)) if child else (none, none)
+
+
+def wide_links(fps: DataFrame, bits: int, similar: float) -> DataFrame:
+    """Edges ``a``, ``b`` between ``id``s that connect wide fingerprints (distinct ``id``, ``fp``, ``fq``) within ``bits`` of each other.
+
+    A pair of texts that are just ``similar`` shares a cell with a chance of 95 %, nearer
+    ones with a higher one. Large cells are dealt out as those of :func:`links` are.
+    """
+    dealt = split_hot(_wide_cells(fps, fps.count(), similar), ["cell"], F.xxhash64("fp", "fq"), CELL)
+    dealt = dealt.select("cell", "_b0", "_b1", "fp", "fq").repartition("cell", "_b0", "_b1").sortWithinPartitions("cell", "_b0", "_b1")
+
+    def run(batches):
+        out, held = [[], [], [], []], 0
+        for _, g in groups(batches, ["cell", "_b0", "_b1"], ["fp", "fq"]):
+            if len(g["fp"]) < 2:
+                continue
+            fp, fq = (g[k].astype(np.int64).view(np.uint64) for k in ("fp", "fq"))
+            x, y = _spanned(fp, fq, bits)
+            if len(x):
+                for o, v in zip(out, (fp[x], fq[x], fp[y], fq[y])):
+                    o.append(v.view(np.int64))
+                held += len(x)
+            if held > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["p", "q", "r", "s"])
+                out, held = [[], [], [], []], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["p", "q", "r", "s"])
+
+    found = dealt.mapInArrow(run, "p long, q long, r long, s long")
+    return found.select(F.xxhash64("p", "q").alias("a"), F.xxhash64("r", "s").alias("b")).distinct()
 
 
 def _reached(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,14 +238,12 @@ def _reached(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges ``a``, ``b`` that connect all fingerprints (distinct longs) within ``bits`` of each other.
 
-    Up to BITS bits none is lost; for more bits the grids are random ones, and pairs at
-    the farthest are found with a chance of 95 % (nearer ones with a higher one).
-
     Cells with over CELL rows are dealt out as pairs of blocks, so a task holds two
     blocks at most and every pair of fingerprints that shares a cell still meets.
     """
-    cells = _cells(fps) if bits <= BITS else _wide_cells(fps, fps.count(), bits)
-    dealt = split_hot(cells, ["cell"], F.xxhash64("fp"), CELL)
+    if bits >= BLOCKS:
+        raise ValueError("more bits than the grids are made for")
+    dealt = split_hot(_cells(fps), ["cell"], F.xxhash64("fp"), CELL)
     dealt = dealt.select("cell", "_b0", "_b1", "fp").repartition("cell", "_b0", "_b1").sortWithinPartitions("cell", "_b0", "_b1")
 
     def run(batches):
@@ -216,15 +286,34 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return _labelled(docs, key, text).select(F.col("_key").alias(key), "fp", "component_id")
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two sorted sets are at least so similar; two empty ones are."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    if not len(a):
+class _Kept:
+    """Sets that were kept, found again by what sets must share.
+
+    Of two sets that are similar enough, the parts of each that hold its least elements,
+    all but the share that may be missing, have an element in common; so sets are
+    looked up by those elements only, and none is passed over.
+    """
+
+    def __init__(self, least: float):
+        self.least, self.sets, self.holders = least, [], {}
+
+    def add(self, x: np.ndarray) -> bool:
+        """Keep a sorted set unless it is similar to one that is kept; two empty sets are equal."""
+        head = x[: len(x) - math.ceil(self.least * len(x) - 1e-9) + 1].tolist() or [-1]
+        seen = {k for v in head for k in self.holders.get(v, ())}
+        for k in sorted(seen):
+            y = self.sets[k]
+            if min(len(x), len(y)) < self.least * max(len(x), len(y)):
+                continue
+            if not len(x):
+                return False
+            both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+            if both >= self.least * (len(x) + len(y) - both):
+                return False
+        for v in head:
+            self.holders.setdefault(v, []).append(len(self.sets))
+        self.sets.append(x)
         return True
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    both = int(np.count_nonzero(b[at] == a))
-    return both >= least * (len(a) + len(b) - both)
 
 
 def _sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -258,9 +347,8 @@ def _led(rows: DataFrame, similar: float) -> DataFrame:
                 stay = []
                 for k, g in enumerate(part.column(0).to_pylist()):
                     if g != now:
-                        now, kept = g, []
-                    if not any(_jaccard(sets[k], x, similar) for x in kept):
-                        kept.append(sets[k])
+                        now, kept = g, _Kept(similar)
+                    if kept.add(sets[k]):
                         stay.append(k)
                 if stay:
                     out = part.take(pa.array(stay))
@@ -272,8 +360,8 @@ def _led(rows: DataFrame, similar: float) -> DataFrame:
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, bits: int = STAGE_BITS, similar: float = SIMILAR) -> DataFrame:
     """One document of each group of near copies: texts whose sets of five-word shingles have a Jaccard similarity of ``similar`` or more.
 
-    Fingerprints of five-word shingles within ``bits`` of each other make candidate
-    groups; in each, documents are kept in the order of their keys (null last), and one
+    Fingerprints (of 128 bits) of five-word shingles within ``bits`` of each other make
+    candidate groups; in each, documents are kept in the order of their keys (null last), and one
     goes only if it is similar to a kept one, which is verified on the whole texts.
     Groups of over GROUP texts are dealt out in blocks first, and what the blocks keep
     is held against each other; so every document that goes was similar to one before
@@ -286,12 +374,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     plain = F.coalesce(F.col(text), F.lit(""))
     named = [F.col(key).alias("_key"), F.xxhash64(plain).alias("_h1"), F.xxhash64(F.lit(7), plain).alias("_h2"), plain.alias("_text")]
     slim = docs.select(*named)
-    rows, rows_path = cut(fingerprints(slim, "_text", words, keep_text=False))
-    once = rows.groupBy(*row).agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"))
+    rows, rows_path = cut(fingerprints(slim, "_text", words, keep_text=False, wide=True))
+    once = rows.groupBy(*row).agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("fq").alias("fq"))
     least = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "n")).alias("x")
-    contents, contents_path = cut(once.groupBy("_h1", "_h2").agg(least, F.first("fp").alias("fp")).select("_h1", "_h2", "x._key", F.col("x.n").alias("_n"), "fp"))
-    roots = connected_components(links(contents.select("fp").distinct(), bits)).withColumnRenamed("id", "fp")
-    labelled = contents.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    contents, contents_path = cut(once.groupBy("_h1", "_h2").agg(least, F.first("fp").alias("fp"), F.first("fq").alias("fq")).select("_h1", "_h2", "x._key", F.col("x.n").alias("_n"), "fp", "fq", F.xxhash64("fp", "fq").alias("id")))
+    roots = connected_components(wide_links(contents.select("id", "fp", "fq").distinct(), bits, similar))
+    labelled = contents.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = labelled.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     labelled, labelled_path = cut(labelled.join(sizes, "root").select(*row, "_n", "root", "size"))
     forget(spark, rows_path)
