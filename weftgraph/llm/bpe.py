@@ -51,7 +51,7 @@ class WordBpe:
     from the end gives the encoding; nothing is searched or merged.
     """
 
-    def __init__(self, spec: dict, cache: int = 150_000):
+    def __init__(self, spec: dict, cache: int = 60_000):
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -185,7 +185,7 @@ class WordBpe:
             if not out:
                 break
         if before == _NEVER:
-            if len(self._fits) > 400_000:
+            if len(self._fits) > 100_000:
                 self._fits.clear()
             self._fits[key] = out
         return out
@@ -413,6 +413,13 @@ def _spec(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(text), sha256(text.encode()).hexdigest()
 
 
+def _small(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of 1,000 rows at most, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1000):
+            yield batch.slice(a, 1000)
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` with a column ``ids`` (array of int): the encoding of the whole ``text``.
 
@@ -426,7 +433,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
 
     def run(batches):
         model = _model(key, spec)
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             numbers, counts = [], [0]
             for found in model.encoded(texts):
@@ -468,7 +475,7 @@ def digests(df: DataFrame, path: str, key_column: str = "doc_id", text: str = "t
 
     def run(batches):
         model = _model(key, spec)
-        for batch in batches:
+        for batch in _small(batches):
             counts, first, second = [], [], []
             for found in model.encoded(batch.column(1).to_pylist()):
                 counts.append(sum([f[0] for f in found]))
