@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.durable import cut
+
 K1, B = 1.2, 0.75
 
 
@@ -91,7 +93,7 @@ class TextIndex:
         if not terms:
             return self.docs.select("doc", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("found")).limit(0)
         asked = F.array(*map(F.lit, terms))
-        rows = self._found(asked)
+        rows, _ = cut(self._found(asked))  # texts are split once; statistics and scores read what was found
         aggs = [F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg")]
         aggs += [F.sum(F.array_contains("hits", t).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)]
         stats = rows.agg(*aggs).first()

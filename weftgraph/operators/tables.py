@@ -47,8 +47,12 @@ def merge_insert(
     ``when_matched``: update_all, do_nothing, or update_if (a condition over
     ``target.x`` and ``source.x``). ``when_not_matched``: insert_all or do_nothing.
     ``not_matched_by_source``: keep, delete, or delete_if (a condition on the target).
-    Null keys match nothing. One full outer join on the keys.
+    Null keys match nothing; several source rows of one key are an error. One full
+    outer join on the keys.
     """
+    twice = source.groupBy(*on).count().where("count > 1").where(" and ".join(f"`{k}` is not null" for k in on))
+    if not twice.isEmpty():
+        raise ValueError("several source rows have one key")
     t = target.select(F.struct(*target.columns).alias("target"), *[F.col(k).alias(f"t_{k}") for k in on])
     s = source.select(F.struct(*source.columns).alias("source"), *[F.col(k).alias(f"s_{k}") for k in on])
     cond = F.lit(True)
