@@ -216,7 +216,7 @@ _CYPHER: dict[str, tuple[str, str | None]] = {
     "fn_convert": ("MATCH (r:Region) RETURN r.r_name AS r, toInteger('42') + r.r_regionkey AS a, toFloat('1.5') AS b, toString(r.r_regionkey) AS c, toString(2.0) AS d, toBoolean('TRUE') AS e, toInteger(-2.7) AS f, toString(null) AS g", "SELECT r_name AS r, CAST(42 + r_regionkey AS BIGINT) AS a, CAST(1.5 AS DOUBLE) AS b, CAST(r_regionkey AS VARCHAR) AS c, '2' AS d, true AS e, CAST(-2 AS BIGINT) AS f, 'null' AS g FROM region"),
     "fn_math": (
         "MATCH (c:Customer) WITH c.c_custkey AS k, c.c_acctbal AS x RETURN k, abs(x) AS a, ceil(x) AS b, floor(x) AS c, sign(x) AS d, round(sqrt(abs(x)) * 1000) AS e, round(log(abs(x) + 1) * 1000) AS f, round(sin(x) * 1000) AS g, round(atan2(x, 2.0) * 1000) AS h, round(exp(x / 10000.0) * 1000) AS i, round(degrees(radians(x))) AS j",
-        "SELECT k, abs(x) AS a, ceil(x) AS b, floor(x) AS c, CAST(sign(x) AS DOUBLE) AS d, r(sqrt(abs(x)) * 1000) AS e, r(ln(abs(x) + 1) * 1000) AS f, r(sin(x) * 1000) AS g, r(atan2(x, 2.0) * 1000) AS h, r(exp(x / 10000.0) * 1000) AS i, r(x) AS j FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer)",
+        "SELECT k, abs(x) AS a, ceil(x) AS b, floor(x) AS c, CAST(sign(x) AS DOUBLE) AS d, r(sqrt(abs(x)) * 1000) AS e, r(ln(abs(x) + 1) * 1000) AS f, r(sin(x) * 1000) AS g, r(atan2(x, 2.0) * 1000) AS h, r(exp(x / 10000.0) * 1000) AS i, r(degrees(radians(x))) AS j FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer)",
     ),
     "fn_infinite": ("RETURN 1.0 / 0 = gds.util.infinity() AS a, gds.util.isFinite(gds.util.NaN()) AS b, gds.util.isInfinite(-1.0 / 0) AS c, log(0) < 0 AS d", "SELECT true AS a, false AS b, true AS c, true AS d"),
     "fn_similarity": (
