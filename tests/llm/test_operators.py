@@ -656,3 +656,55 @@ def test_secrets_of_one_text_in_great_number(spark):
         assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and len(want) > 64
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
     assert clean[0] == "é [SECRET] [SECRET] 😀 " * 1500 and clean[1] == "é [SECRET] [SECRET] 😀 " * 40
+
+
+def test_bpe_ids_of_many_texts_at_once(docs):
+    """Ids taken from one array are those of each text alone, also when what is kept of words is dropped midway."""
+    from weftgraph.llm.queries import vocabulary
+
+    model, alone = bpe.load(vocabulary()), bpe.load(vocabulary())
+    texts = [r["text"] for r in docs.limit(60).collect()] + [None, "", " ", "<|endoftext|> a " + "x" * 500 + " ሴ ½ Σ", "one", "ab\n"]
+    want = [alone.encode(t or "") for t in texts]
+    for most in (model.places, 10):
+        model.places = most
+        for size in (len(texts), 7):
+            made = [model.ids(texts[a : a + size]) for a in range(0, len(texts), size)]
+            assert np.concatenate([c for _, c in made]).tolist() == [len(w) for w in want]
+            assert np.concatenate([x for x, _ in made]).tolist() == [i for w in want for i in w]
+    assert [len(x) for x in model.ids([])] == [0, 0]
+
+
+def test_wide_fingerprints_are_majorities(spark):
+    rng = random.Random(31)
+    texts = [words(rng, n, 10**6) for n in (5, 6, 8, 12, 259, 260, 600, 3000)] + [None, "", " \t", "a b", "A  b", "a b c d e a b c d e a b c d e"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r["i"]: (r["fp"] & (1 << 64) - 1, r["fq"] & (1 << 64) - 1) for r in simhash.wide_fingerprints(rows, "text", 5).collect()}
+    for i, t in enumerate(texts):
+        h = passages._all_shingles(passages._raw([t]), 5, wide=True)[0]
+        if not len(h):
+            continue
+        for k, x in enumerate((h, simhash._other(h))):
+            each, least = [int(v) for v in x], int(x[h.argmin()])
+            n = [2 * sum(v >> b & 1 for v in each) for b in range(64)]
+            assert got[i][k] == sum((n[b] > len(h) or n[b] == len(h) and least >> b & 1) << b for b in range(64))
+    assert got[8] == got[9] == got[10] == (0, 0) and got[11] == got[12] != (0, 0)
+
+
+@pytest.mark.parametrize("table", [0, 1024])
+def test_cells_of_wide_fingerprints_are_spanned(table, monkeypatch):
+    """Groups of a cell, by rounds or by one table of all pairs, are those of brute force."""
+    monkeypatch.setattr(simhash, "TABLE", table)
+    rng = np.random.default_rng(32)
+    for n in (2, 40, 300):
+        fp, fq = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(2))
+        for k in range(0, n - 1, 3):  # chains
+            fp[k + 1], fq[k + 1] = fp[k] ^ np.uint64(0xFFFFF), fq[k]
+        x, y = simhash._spanned(fp, fq, 20)
+        near = np.bitwise_count(fp[:, None] ^ fp).astype(int) + np.bitwise_count(fq[:, None] ^ fq) <= 20
+        want, got = np.arange(n), np.arange(n)
+        for _ in range(n):
+            want = np.where(near, want, n).min(axis=1)
+        for a, b in zip(x, y):
+            lo, hi = sorted((got[a], got[b]))
+            got[got == hi] = lo
+        assert len(set(zip(want.tolist(), got.tolist()))) == len(set(want.tolist())) == len(set(got.tolist()))

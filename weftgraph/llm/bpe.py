@@ -73,6 +73,8 @@ class WordBpe:
         self._left: dict[int, list] = {}
         self._fits: dict[int, bool] = {}
         self.cache_size, self.cache = cache, {}
+        self.places, self.place = 3 * cache, {}  # of :meth:`ids`: an entry holds no text but its key
+        self.bounds, self.store = np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.numbers = {i: str(i) for i in self.tokens}
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
         keys: list[tuple[str, int]] = []
@@ -239,34 +241,45 @@ class WordBpe:
                 out += _WORDS.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode the words and keep what they give."""
-        plain, raw = [], []
-        for w in words:
-            if w[0] != _MARK:
-                plain.append(w)
-                raw.append(w.encode())
-            elif w[1:] in self.special:
-                self._kept(w, [self.special[w[1:]]])
-            else:
-                plain.append(w)
-                raw.append(bytes(map(self.byte_of.__getitem__, w[1:])))
+    def _coded(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in some order, their ids one after the other, and where each word's end."""
+        plain = [w for w in words if w[0] != _MARK]
+        raw = [w.encode() for w in plain]
+        alone, lists = [], []
+        if len(plain) < len(words):
+            for w in words:
+                if w[0] != _MARK:
+                    continue
+                if w[1:] in self.special:
+                    alone.append(w)
+                    lists.append([self.special[w[1:]]])
+                else:
+                    plain.append(w)
+                    raw.append(bytes(map(self.byte_of.__getitem__, w[1:])))
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         long = sizes > LONGEST  # and those with rare bytes
         at = np.fromiter((m.start() for m in self.tables[-1].finditer(b"".join(raw))), dtype=np.int64)
         long[np.searchsorted(np.cumsum(sizes), at, side="right")] = True
         for k in np.nonzero(long)[0].tolist():
             w = plain[k]
-            self._kept(w, self.word(w[1:], True) if w[0] == _MARK else self.word(w))
+            alone.append(w)
+            lists.append(self.word(w[1:], True) if w[0] == _MARK else self.word(w))
         if long.any():
             fit = np.nonzero(~long)[0].tolist()
             plain, raw, sizes = [plain[k] for k in fit], [raw[k] for k in fit], sizes[~long]
-        if plain:
-            flat, ends = self._together(raw, sizes)
-            ids, at = flat.tolist(), 0
-            for w, end in zip(plain, ends.tolist()):
-                self._kept(w, ids[at:end])
-                at = end
+        flat, ends = self._together(raw, sizes) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if alone:
+            ends = np.concatenate((ends, len(flat) + np.cumsum([len(x) for x in lists])))
+            flat = np.concatenate((flat, np.array([i for x in lists for i in x], dtype=np.int32)))
+        return plain + alone, flat, ends
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode the words and keep what they give."""
+        order, flat, ends = self._coded(words)
+        ids, at = flat.tolist(), 0
+        for w, end in zip(order, ends.tolist()):
+            self._kept(w, ids[at:end])
+            at = end
 
     def _kept(self, word: str, ids: list[int]) -> None:
         numbers, tokens = self.numbers, self.tokens
@@ -382,6 +395,37 @@ class WordBpe:
                 found = list(map(get, w))
                 yield found if None not in found else [f for f in found if f]
 
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has.
+
+        As :meth:`encoded`, but of a word only the place of its ids in one array is
+        kept, so the ids of all words of some texts are taken from there at once.
+        """
+        out, counts, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        while at < len(texts):
+            words, ends, size = [], [0], 0
+            while at < len(texts) and size < TOGETHER:
+                t = texts[at] or ""
+                words += self._pieces(t)
+                ends.append(len(words))
+                size += len(t)
+                at += 1
+            if len(self.place) > self.places:
+                self.place.clear()
+                self.bounds, self.store = np.zeros(1, np.int64), np.zeros(0, np.int32)
+            new = set(words).difference(self.place)
+            if new:
+                order, flat, stops = self._coded(list(new))
+                self.place.update(zip(order, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(order))))
+                self.bounds = np.concatenate((self.bounds, len(self.store) + stops))
+                self.store = np.concatenate((self.store, flat))
+            k = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+            begin, own = self.bounds[k], self.bounds[k + 1] - self.bounds[k]
+            done = np.concatenate(([0], np.cumsum(own)))
+            out.append(self.store[np.repeat(begin - done[:-1], own) + np.arange(done[-1])])
+            counts.append(np.diff(done[ends]))
+        return np.concatenate(out), np.concatenate(counts)
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in next(self.encoded([text])) for i in ids.split()]
 
@@ -435,13 +479,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
         model = _model(key, spec)
         for batch in _small(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            numbers, counts = [], [0]
-            for found in model.encoded(texts):
-                own = " ".join([f[1] for f in found])
-                numbers.append(np.array(own.split(), dtype=np.int32))
-                counts.append(counts[-1] + len(numbers[-1]))
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-            made = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat, pa.int32()))
+            flat, counts = model.ids(texts)
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, ids])
 
     return df.mapInArrow(run, schema)

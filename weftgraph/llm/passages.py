@@ -95,19 +95,20 @@ def _raw(texts: list[str | None]) -> list[bytes]:
     return [(t if t.isascii() else _WIDE.sub(" ", t)).encode("utf-8", "replace") for t in plain]
 
 
-def _all_shingles(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`shingles` of some texts, one after the other, and where each text's begin (and the last ones end)."""
+def _all_shingles(raw: list[bytes], words: int = WORDS, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shingles` of some texts, one after the other, and where each text's begin (and the last ones end); ``wide``: of 64 bits."""
     border = np.cumsum([0] + [len(r) + 1 for r in raw])
     places, w = _word_hashes(b" ".join(raw))
     sizes = np.diff(np.searchsorted(places, border))
-    n = max(0, len(w) - WORDS + 1)
+    n = max(0, len(w) - words + 1)
     x = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(WORDS):
+        for k in range(words):
             x = x * np.uint64(0x100000001B3) + w[k : k + n]
-    own = np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n) >= WORDS  # those that do not run into the next text
-    counts = np.maximum(0, sizes - WORDS + 1)
-    return (_mixed(x[own], np.uint64(77)) >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(counts)))
+    own = np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n) >= words  # those that do not run into the next text
+    counts = np.maximum(0, sizes - words + 1)
+    hashes = _mixed(x[own], np.uint64(77))
+    return hashes if wide else (hashes >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(counts)))
 
 
 def _all_windows(sh: np.ndarray, begin: np.ndarray, j: int) -> tuple[np.ndarray, ...]:

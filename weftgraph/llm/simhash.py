@@ -7,14 +7,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import cut, forget, groups, split_hot
+from .common import cut, forget, groups, hot_groups, split_hot
 from .components import connected_components
 from .passages import _all_shingles, _raw
+from .vectors import _forest
 
 #: Most differing bits of a link, words of a shingle, bits of a segment.
 BITS, WORDS, SEGMENT = 4, 4, 2
@@ -22,11 +24,15 @@ BITS, WORDS, SEGMENT = 4, 4, 2
 BLOCKS = 6
 #: Rows of a cell that one task compares with each other.
 CELL = 4096
+#: Rows of a cell up to which all their pairs are compared in one table; large cells that are counted first up to which they are broadcast.
+TABLE, BROADCAST_CELLS = 1024, 20_000
+#: Bytes of text whose shingles are hashed together.
+TOGETHER = 1 << 21
 #: Of the deduplication of documents: words of a shingle, bits (of 128) between candidates, similarity, texts of a group that one task compares.
 STAGE_WORDS, STAGE_BITS, SIMILAR, GROUP = 5, 28, 0.8, 2048
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_text: bool = True, wide: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``fp`` (long): the majority bits of the XXH64 of all word shingles.
 
     A-Z is lower-cased, words are runs without ASCII white space, shingles are
@@ -51,11 +57,6 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_t
     if not keep_text:
         docs, rows = docs.drop(text), rows.drop(text)
     schema = T.StructType(list(docs.schema.fields)).add("fp", "long")
-    if wide:
-        schema = schema.add("fq", "long")
-
-    def bits_of(h: np.ndarray) -> np.ndarray:
-        return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1)
 
     def run(batches):
         for batch in batches:
@@ -63,23 +64,17 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep_t
             starts = column.offsets.to_numpy()
             values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
             valid = column.is_valid().to_numpy(zero_copy_only=False)
-            out = np.zeros((batch.num_rows, 1 + wide), dtype=np.int64)
+            out = np.zeros(batch.num_rows, dtype=np.int64)
             for i in range(batch.num_rows):
                 h = values[starts[i] : starts[i + 1]] if valid[i] else values[:0]
                 if not len(h):
                     continue
-                count = np.zeros(64 * (1 + wide), dtype=np.int64)
+                count = np.zeros(64, dtype=np.int64)
                 for a in range(0, len(h), 1 << 16):
-                    piece = h[a : a + (1 << 16), None]
-                    if wide:
-                        piece = np.concatenate((piece, _other(piece)), axis=1)
-                    count += bits_of(piece).sum(axis=0, dtype=np.int64)
-                bits = 2 * count > len(h)
-                if wide:
-                    least = h.min()[None, None]
-                    bits |= (2 * count == len(h)) & (bits_of(np.concatenate((least, _other(least)), axis=1))[0] > 0)
-                out[i] = np.packbits(bits).view(">u8").astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(out[:, k]) for k in range(1 + wide)]], schema.names)
+                    piece = h[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+                    count += np.unpackbits(piece, axis=1).sum(axis=0, dtype=np.int64)
+                out[i] = np.packbits(2 * count > len(h)).view(">u8").astype(np.uint64).view(np.int64)[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -90,6 +85,72 @@ def _other(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(27))
 
 
+#: For each byte its bits, the highest first, each in a byte of its own.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def _set_bits(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """How many of the hashes of each stretch (none empty, from ``begin`` on, the last bound included) have each of 64 bits, the highest first.
+
+    Runs of 255 hashes at most are added up in lanes of a byte, and runs to stretches.
+    """
+    sizes = np.diff(begin)
+    runs = -(-sizes // 255)
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(begin[:-1] - 255 * first, runs) + 255 * np.arange(runs.sum())
+    out = np.zeros((len(runs), 64), dtype=np.int64)
+    for a in range(0, len(starts), 512):
+        x, y = starts[a], starts[a + 512] if a + 512 < len(starts) else begin[-1]
+        lanes = _LANES[h[x:y].astype(">u8").view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(lanes, starts[a : a + 512] - x, axis=0).view(np.uint8)
+        owner = np.searchsorted(first, np.arange(a, a + len(sums)), side="right") - 1
+        new = np.concatenate(([0], np.nonzero(np.diff(owner))[0] + 1))
+        out[owner[new]] += np.add.reduceat(sums, new, axis=0, dtype=np.int64)
+    return out
+
+
+def wide_fingerprints(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """``docs`` without ``text``, with ``fp`` and ``fq`` (longs): 128 majority bits of the hashes of all word shingles.
+
+    Words are those of :func:`_sets`. A text with fewer words is one shingle, one without
+    words (or null) gets 0; of a bit that half the hashes have, the least hash decides.
+    """
+    kept = [c for c in docs.columns if c != text]
+    schema = T.StructType([docs.schema[c] for c in kept]).add("fp", "long").add("fq", "long")
+
+    def made(texts):
+        raw = _raw(texts)
+        h, begin = _all_shingles(raw, words, wide=True)
+        out = np.zeros((2, len(raw)), dtype=np.uint64)
+        for k in np.nonzero(np.diff(begin) == 0)[0].tolist():
+            if w := raw[k].split():
+                out[0, k] = xxhash.xxh64_intdigest(b" ".join(w))
+                out[1, k] = _other(out[0, k : k + 1])[0]
+        some = np.nonzero(np.diff(begin))[0]
+        if len(some):
+            borders, n = np.concatenate((begin[some], begin[-1:])), np.diff(begin)[some][:, None]
+            least = np.minimum.reduceat(h, borders[:-1])
+            for k, change in enumerate((lambda x: x, _other)):
+                count = 2 * _set_bits(change(h), borders)
+                own = np.unpackbits(change(least).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1) > 0
+                out[k, some] = np.packbits((count > n) | (count == n) & own, axis=1).view(">u8").ravel()
+        return out.view(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(pc.fill_null(batch.column(len(kept)), "")).to_numpy(zero_copy_only=False))
+            a = 0
+            while a < batch.num_rows:
+                held = sizes[a - 1] if a else 0
+                b = max(a + 1, int(np.searchsorted(sizes, held + TOGETHER, side="right")))
+                part = batch.slice(a, b - a)
+                out = made(part.column(len(kept)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x) for x in out]], schema.names)
+                a = b
+
+    return docs.select(*kept, text).mapInArrow(run, schema)
+
+
 def _counts():
     """Bit counts of all two-bit segments of ``fp``, side by side in their own two bits."""
     odd = 0x5555555555555555
@@ -144,6 +205,13 @@ def _wide_cells(fps: DataFrame, rows: int, similar: float) -> DataFrame:
 
 def _spanned(fp: np.ndarray, fq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Members of a cell (wide fingerprints) that links inside it connect, each with the first one of its group, as places."""
+    n = len(fp)
+    if n <= TABLE:  # all pairs at once
+        near = np.bitwise_count(fp[:, None] ^ fp)
+        near += np.bitwise_count(fq[:, None] ^ fq)
+        x, y = np.nonzero(near <= bits)
+        own = x < y
+        return _forest(n, x[own], y[own])
     total = np.bitwise_count(fp).astype(np.int16) + np.bitwise_count(fq)
     rest = np.argsort(total, kind="stable")
     total = total[rest]
@@ -175,7 +243,11 @@ def wide_links(fps: DataFrame, bits: int, similar: float) -> DataFrame:
     A pair of texts that are just ``similar`` shares a cell with a chance of 95 %, nearer
     ones with a higher one. Large cells are dealt out as those of :func:`links` are.
     """
-    dealt = split_hot(_wide_cells(fps, fps.count(), similar), ["cell"], F.xxhash64("fp", "fq"), CELL)
+    cells = _wide_cells(fps, fps.count(), similar)
+    large, _ = cut(hot_groups(cells, ["cell"], CELL))
+    if large.count() <= BROADCAST_CELLS:
+        large = F.broadcast(large)
+    dealt = split_hot(cells, ["cell"], F.xxhash64("fp", "fq"), CELL, large)
     dealt = dealt.select("cell", "_b0", "_b1", "fp", "fq").repartition("cell", "_b0", "_b1").sortWithinPartitions("cell", "_b0", "_b1")
 
     def run(batches):
@@ -374,7 +446,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     plain = F.coalesce(F.col(text), F.lit(""))
     named = [F.col(key).alias("_key"), F.xxhash64(plain).alias("_h1"), F.xxhash64(F.lit(7), plain).alias("_h2"), plain.alias("_text")]
     slim = docs.select(*named)
-    rows, rows_path = cut(fingerprints(slim, "_text", words, keep_text=False, wide=True))
+    rows, rows_path = cut(wide_fingerprints(slim, "_text", words))
     once = rows.groupBy(*row).agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("fq").alias("fq"))
     least = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "n")).alias("x")
     contents, contents_path = cut(once.groupBy("_h1", "_h2").agg(least, F.first("fp").alias("fp"), F.first("fq").alias("fq")).select("_h1", "_h2", "x._key", F.col("x.n").alias("_n"), "fp", "fq", F.xxhash64("fp", "fq").alias("id")))
