@@ -708,3 +708,64 @@ def test_cells_of_wide_fingerprints_are_spanned(table, monkeypatch):
             lo, hi = sorted((got[a], got[b]))
             got[got == hi] = lo
         assert len(set(zip(want.tolist(), got.tolist()))) == len(set(want.tolist())) == len(set(got.tolist()))
+
+
+def context_groups(rng, n):
+    """Contexts of three groups: a repeated shingle with others strewn in, one passage in many surroundings, and small families."""
+    group, centres, bodies = [], [], []
+    base = rng.integers(1000, 2000, passages._WIDTH)
+    families = [rng.integers(10_000 * k, 10_000 * k + 4000, passages._WIDTH) for k in range(3, 30)]
+    for g in range(3):
+        for _ in range(n):
+            left, right = (45, 45) if g == 1 else (int(rng.integers(0, 46)), 0)
+            right = right or 45 - left + int(rng.integers(0, min(left, 4) + 1))
+            x = np.full(passages._WIDTH, 5) if g == 0 else base.copy() if g == 1 else families[rng.integers(len(families))].copy()
+            if g == 1:
+                a, b = rng.integers(0, 25), rng.integers(66, 91)
+                x[:a], x[b:] = rng.integers(3000, 3400, a), rng.integers(3000, 3400, 91 - b)
+            at = rng.choice(91, rng.integers(0, 14), replace=False)
+            x[at] = 1_000_000 + rng.integers(0, 2 * n, len(at))
+            x[45] = 7
+            group.append(g)
+            centres.append(left)
+            bodies.append(x[45 - left : 46 + right].astype(np.uint32))
+    return np.array(group), np.array(centres, dtype=np.int64), bodies
+
+
+def test_passages_of_large_groups_are_all_found(monkeypatch):
+    """Flags and classes are those of holding every context against every other, however early the rounds of leaders end."""
+    group, centres, bodies = context_groups(np.random.default_rng(41), 120)
+    n = len(bodies)
+    linked = np.eye(n, dtype=bool)
+    want = np.zeros((n, passages.SHORTEST), dtype=bool)
+    for i in range(n):
+        for k in np.nonzero(group == group[i])[0].tolist():
+            if i != k and len(bodies[i]) >= passages.SHORTEST:
+                hit = passages._covered(bodies[i], np.sort(bodies[k]))
+                want[i, 45 - centres[i] : 45 - centres[i] + len(hit)] |= hit
+                linked[i, k] |= hit.any()
+    linked |= linked.T
+    root = np.arange(n)
+    for _ in range(n):
+        root = np.where(linked, root, n).min(axis=1)
+    assert 100 < want.any(axis=1).sum() < n
+    for rounds, many in ((10**9, 0), (1, 0), (3, 0), (3, 48)):
+        monkeypatch.setattr(passages, "ROUNDS", rounds)
+        monkeypatch.setattr(passages, "MANY", many)
+        flags, label = passages._verified(group, centres, bodies)
+        assert (flags == want).all()
+        assert len(set(zip(root.tolist(), label.tolist()))) == len(set(root.tolist())) == len(set(label.tolist()))
+
+
+def test_work_on_a_large_group_of_contexts_grows_with_it(monkeypatch):
+    """Twice the contexts of one value are verified by about twice as many comparisons."""
+    plain, done = passages._stretches, []
+    monkeypatch.setattr(passages, "_stretches", lambda hit: done.append(len(hit)) or plain(hit))
+    work = []
+    for n in (2000, 4000):
+        group, centres, bodies = context_groups(np.random.default_rng(42), n)
+        done.clear()
+        passages._verified(group[:n], centres[:n], bodies[:n])
+        work.append(sum(done))
+    assert work[1] < 2.6 * work[0], work
+    assert work[1] < 40 * 4000, work

@@ -21,9 +21,11 @@ from .vectors import _forest
 #: Words of a shingle, shingles of the shortest passage (50 words), least Jaccard similarity, hash functions.
 WORDS, SHORTEST, SIMILAR, FUNCTIONS = 5, 46, 0.8, 2
 #: Contexts of a value in a block; values with more are dealt out as pairs of blocks.
-HOT = 4096
+HOT = 8192
+#: Rounds of leaders after which groups that still have more than so many contexts are finished by what contexts share.
+ROUNDS, MANY = 3, 48
 #: Words prepared together; contexts verified together.
-TOGETHER, VERIFIED = 400_000, 8192
+TOGETHER, VERIFIED = 200_000, 8192
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) & (1 << 64) - 1) for k in range(FUNCTIONS)]
 
 
@@ -238,8 +240,10 @@ def _verified(group: np.ndarray, centres: np.ndarray, bodies: list[np.ndarray])
     most shared shingles left, that is held against all others; those whose shared
     shingles the leader has all tell nothing more and leave with it: whatever links
     to them links to the leader. Two contexts of one class whose stretches all have
-    counterparts already are not compared, and a group of such is done. So contexts
-    are held against few others, and none is passed over for a group's size.
+    counterparts already are not compared, and a group of such is done. Groups that
+    are large after some rounds are finished by looking up, for each context that is
+    not settled, those that hold one of its rarest shingles. So contexts are held
+    against few others, and none is passed over for a group's size.
     """
     n = len(bodies)
     sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=n)
@@ -273,7 +277,127 @@ def _verified(group: np.ndarray, centres: np.ndarray, bodies: list[np.ndarray])
     live = live[np.lexsort((-shared[live].sum(axis=1), group[live]))]
     settled = np.zeros(n, dtype=bool)  # all its possible stretches have a counterpart
     led, cell = np.zeros(none + 1, dtype=bool), np.zeros(none + 1, dtype=np.int64)
+    start, df = np.zeros(none + 1, dtype=np.int64), np.zeros(none + 1, dtype=np.int64)
+
+    def held(p, q, stand, double):
+        """Hold contexts against their leaders (which ``led`` and ``cell`` tell of): those that share enough, and of these who tells nothing more and who is linked."""
+        have = led[ids[p]]
+        near = (np.count_nonzero(have, axis=1) >= _NEED) | double
+        p, q, have = p[near], q[near], have[near]
+        own = _stretches(have) & whole[p]
+        done = ~(shared[p] & ~have).any(axis=1)
+        x, y = np.nonzero(have)
+        theirs = np.zeros_like(have)
+        theirs[x, cell[ids[p[x], y]]] = True
+        other = _stretches(np.take_along_axis(theirs, stand[near], axis=1) & shared[q]) & whole[q]
+        flags[p] |= own
+        if len(q):
+            new = np.concatenate(([0], np.nonzero(q[1:] != q[:-1])[0] + 1))
+            flags[q[new]] |= np.logical_or.reduceat(other, new, axis=0)
+        both = np.concatenate((p, q))
+        settled[both] = ~(possible[both] & ~flags[both]).any(axis=1)
+        return near, done, own.any(axis=1) | other.any(axis=1)
+
+    def finish(rows):
+        """Hold the contexts of one group that are left against those that can be like them; the labels that meet.
+
+        A stretch is covered only by contexts that hold one of any SHORTEST - _NEED + 1
+        of its shingles (places, repeats included), and its rarest ones tell the fewest.
+        Contexts of the group's commonest shingles come first, so most are soon settled
+        in the first one's class and need not ask. Those that end in another class are
+        looked up among the rarest shingles of those that did not ask for all stretches.
+        """
+        m = len(rows)
+        r, c = np.nonzero(shared[rows])
+        pair = np.unique(ids[rows[r], c].astype(np.int64) * m + r)
+        v, r = pair // m, pair % m
+        known, begin, count = np.unique(v, return_index=True, return_counts=True)
+        start[known], df[known] = begin, count
+        common = np.bincount(r, df[v], minlength=m) / np.maximum(1, np.bincount(r, minlength=m))
+
+        def rare(q, some):
+            """Shingles of which one is in each context that covers any of some stretches."""
+            out, k = [], 0
+            while k < len(some):
+                e = k + int(np.searchsorted(some[k:], some[k] + 8))
+                x = ids[q, some[e - 1] : some[k] + SHORTEST]
+                out.append(x[np.argpartition(df[x], SHORTEST - _NEED)[: SHORTEST - _NEED + 1]])
+                k = e
+            x = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+            return x[x < none]
+
+        mine, moved = label[rows], np.zeros(n, dtype=bool)
+        xs, ys = [], []
+
+        def against(u, some):
+            q = rows[u]
+            some = some[some != u]
+            some = some[~(settled[rows[some]] & settled[q] & (mine[some] == mine[u]))]
+            if not len(some):
+                return
+            led[ids[q]] = True
+            led[none] = False
+            cell[ids[q]] = np.arange(_WIDTH)
+            stand = cell[ids[q]]
+            double = (shared[q] & (stand != np.arange(_WIDTH))).any()
+            for a in range(0, len(some), 4096):
+                w = some[a : a + 4096]
+                near, _, linked = held(rows[w], np.full(len(w), q), np.broadcast_to(stand, (len(w), _WIDTH)), np.full(len(w), double))
+                others = np.unique(mine[w[near][linked]])
+                xs.append(others)
+                ys.append(np.full(len(others), mine[u]))
+                moved[others] = True
+                mine[moved[mine]] = mine[u]
+                moved[others] = False
+            led[ids[q]] = False
+
+        order = np.argsort(-common, kind="stable")
+        main, whole_asked = order[0], np.zeros(m, dtype=bool)
+        against(main, np.arange(m))
+        whole_asked[main] = True
+        for u in order[1:].tolist():
+            q, inside = rows[u], mine[u] == mine[main]
+            if settled[q] and inside:
+                continue
+            whole_asked[u] = not inside
+            x = rare(q, np.nonzero(possible[q] & ~flags[q] if inside else possible[q])[0])
+            met = [r[start[k] : start[k] + df[k]] for k in x.tolist()]
+            if met:
+                against(u, np.unique(np.concatenate(met)))
+        apart = np.nonzero(mine != mine[main])[0]
+        if len(apart):
+            own = [(k, u) for u in np.nonzero(~whole_asked)[0].tolist() for k in rare(rows[u], np.nonzero(possible[rows[u]])[0]).tolist()]
+            if own:
+                k, u = np.array(sorted(own)).T
+                for w in apart.tolist():
+                    x = np.unique(ids[rows[w]][shared[rows[w]]])
+                    met = [u[i:j] for i, j in zip(np.searchsorted(k, x).tolist(), np.searchsorted(k, x, side="right").tolist()) if i < j]
+                    if met:
+                        against(w, np.unique(np.concatenate(met)))
+        df[known] = 0
+        return xs, ys
+
+    def join(xs, ys):
+        nonlocal label
+        x, y = _forest(n, np.concatenate(xs), np.concatenate(ys))
+        if len(x):
+            to = np.arange(n)
+            to[x] = y
+            label = to[label]
+
+    turn = 0
     while len(live):
+        turn += 1
+        if turn % ROUNDS == 0:
+            g = group[live]
+            at = np.nonzero(np.concatenate(([True], g[1:] != g[:-1])))[0]
+            sizes = np.diff(np.append(at, len(live)))
+            found = [finish(live[a : a + m]) for a, m in zip(at.tolist(), sizes.tolist()) if m > MANY]
+            if xs := [x for f in found for x in f[0]]:
+                join(xs, [y for f in found for y in f[1]])
+            live = live[np.repeat(sizes <= MANY, sizes)]
+            if not len(live):
+                break
         g = group[live]
         first = np.concatenate(([True], g[1:] != g[:-1]))
         at = np.nonzero(first)[0]
@@ -298,33 +422,15 @@ def _verified(group: np.ndarray, centres: np.ndarray, bodies: list[np.ndarray])
         double = (shared[heads] & (stand != np.arange(_WIDTH))).any(axis=1)
         for a in range(0, len(useful), 4096):
             w = useful[a : a + 4096]
-            have = led[ids[i[w]]]
-            near = (np.count_nonzero(have, axis=1) >= _NEED) | double[which[w]]
-            w, have = w[near], have[near]
             p, q = i[w], k[w]
-            own = _stretches(have) & whole[p]
-            done = ~(shared[p] & ~have).any(axis=1)
-            x, y = np.nonzero(have)
-            theirs = np.zeros_like(have)
-            theirs[x, cell[ids[p[x], y]]] = True
-            other = _stretches(np.take_along_axis(theirs, stand[which[w]], axis=1) & shared[q]) & whole[q]
-            flags[p] |= own
-            if len(q):
-                new = np.concatenate(([0], np.nonzero(q[1:] != q[:-1])[0] + 1))
-                flags[q[new]] |= np.logical_or.reduceat(other, new, axis=0)
-            both = np.concatenate((p, q))
-            settled[both] = ~(possible[both] & ~flags[both]).any(axis=1)
-            linked = own.any(axis=1) | other.any(axis=1)
-            xs.append(label[p[linked]])
-            ys.append(label[q[linked]])
+            near, done, linked = held(p, q, stand[which[w]], double[which[w]])
+            w = w[near]
+            xs.append(label[p[near][linked]])
+            ys.append(label[q[near][linked]])
             gone[w] = done & linked
         led[ids[heads]] = False
         if xs:
-            x, y = _forest(n, np.concatenate(xs), np.concatenate(ys))
-            if len(x):
-                to = np.arange(n)
-                to[x] = y
-                label = to[label]
+            join(xs, ys)
         stay = rest.copy()
         stay[np.nonzero(rest)[0][gone]] = False
         live = live[stay]
