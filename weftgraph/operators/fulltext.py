@@ -59,33 +59,38 @@ class TextIndex:
         hits = self.docs.select("doc", F.size("tokens").alias("size"), F.filter("tokens", lambda w: F.array_contains(terms, w)).alias("hits"))
         return hits
 
-    def match(self, text: str, k: int | None = None, operator: str = "or", boost: float = 1.0, fuzziness: int | None = 0, max_expansions: int = 50) -> DataFrame:
+    def match(self, text: str, k: int | None = None, operator: str = "or", boost: float = 1.0, fuzziness: int | None = 0, max_expansions: int = 50, edits: str = "characters", digits: int | None = None) -> DataFrame:
         """``key`` and ``_score`` of documents with any (or all) of the words.
 
         ``fuzziness`` allows so many edits of a word; None takes 0, 1 or 2 by its
         length (up to 2, up to 5, longer); at most ``max_expansions`` words of the
-        corpus stand in for each, the nearest and then first ones.
+        corpus stand in for each, the nearest and then first ones. ``edits`` are of
+        characters or of ``bytes`` in UTF-8. The first ``k`` are those of the highest
+        scores (rounded to ``digits``, if given), ties by key.
         """
         words = list(dict.fromkeys(self.tokenizer.words(text)))
         if not words:
             return self.docs.select(F.col("doc").alias(self.key), F.lit(0.0).alias("_score")).limit(0)
         groups = {w: [w] for w in words}
         if fuzziness != 0:
-            groups = {w: self._expanded(w, fuzziness, max_expansions) for w in words}
+            groups = {w: self._expanded(w, fuzziness, max_expansions, edits) for w in words}
         every = sorted({x for g in groups.values() for x in g})
         scored = self._scores(every)
         if operator == "and":
             for g in groups.values():
                 scored = scored.where(F.arrays_overlap("found", F.array(*map(F.lit, g)))) if g else scored.where(F.lit(False))
         out = scored.select(F.col("doc").alias(self.key), (F.col("score") * boost).alias("_score"))
-        return out if k is None else out.orderBy(F.desc("_score"), self.key).limit(k)
+        return out if k is None else _first(out, k, self.key, digits)
 
-    def _expanded(self, word: str, fuzziness: int | None, most: int) -> list[str]:
-        edits = fuzziness if fuzziness is not None else 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
-        if edits == 0:
+    def _expanded(self, word: str, fuzziness: int | None, most: int, edits: str = "characters") -> list[str]:
+        allowed = fuzziness if fuzziness is not None else 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
+        if allowed == 0:
             return [word]
         vocabulary = self.docs.select(F.explode("tokens").alias("w")).distinct()
-        near = vocabulary.withColumn("d", F.levenshtein("w", F.lit(word))).where(F.col("d") <= edits)
+        mine, asked = F.col("w"), word
+        if edits == "bytes":  # a character for each byte
+            mine, asked = F.decode(F.encode("w", "UTF-8"), "ISO-8859-1"), word.encode().decode("latin-1")
+        near = vocabulary.withColumn("d", F.levenshtein(mine, F.lit(asked))).where(F.col("d") <= allowed)
         return [r["w"] for r in near.orderBy("d", "w").limit(most).collect()]
 
     def _scores(self, terms: list[str]) -> DataFrame:
@@ -128,11 +133,17 @@ class TextIndex:
         return rows.select(self.key, (F.col("_score") - weight * F.coalesce("less", F.lit(0.0))).alias("_score"))
 
 
-def multi_match(df: DataFrame, key: str, columns: list[str], text: str, k: int | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
+def _first(scored: DataFrame, k: int, key: str, digits: int | None) -> DataFrame:
+    """The ``k`` highest scores, those that round alike by key."""
+    score = F.col("_score") if digits is None else F.round("_score", digits)
+    return scored.orderBy(score.desc(), key).limit(k)
+
+
+def multi_match(df: DataFrame, key: str, columns: list[str], text: str, k: int | None = None, tokenizer: Tokenizer | None = None, digits: int | None = None) -> DataFrame:
     """The best score of each document over several columns."""
     out = None
     for c in columns:
         rows = TextIndex(df, key, c, tokenizer).match(text)
         out = rows if out is None else out.unionByName(rows)
     out = out.groupBy(key).agg(F.max("_score").alias("_score"))
-    return out if k is None else out.orderBy(F.desc("_score"), key).limit(k)
+    return out if k is None else _first(out, k, key, digits)
