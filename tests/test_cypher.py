@@ -9,7 +9,8 @@ from weftgraph.operators.catalog import violations
 from weftgraph.operators.mutate import Writer
 from weftgraph.operators.security import Scope, compile_scope, fnv1a32
 from weftgraph.plans.builder import PlanBuilder, plan_scan, plan_traversal
-from weftgraph.plans.graph import PropertyGraph
+from weftgraph.plans.graph import EdgeTable, NodeTable, PropertyGraph
+from weftgraph.plans.patterns import Matcher
 from weftgraph.plans.values import SemanticError
 from weftgraph.session import GraphSession
 
@@ -215,3 +216,52 @@ def test_filters_reach_the_files(spark, tmp_path):
     g = GraphSession(PropertyGraph([NodeTable(n, "N")], [EdgeTable(n.select("id", F.col("id").alias("src"), F.col("x").alias("dst")), "E", "N", "N")]))
     plan = g.query("MATCH (a:N) WHERE a.x > 6 RETURN a.x AS x")._jdf.queryExecution().toString()
     assert "GreaterThan(x,6)" in plan and "unused" not in plan.split("PushedFilters")[1]
+
+
+def tables(spark):
+    """Towns with people and shops; orders by people, and items from an order to a shop or a good; some ends are null or unknown."""
+    made = lambda rows, s: spark.createDataFrame(rows, s)
+    people = made([(i, i % 3 if i else None) for i in range(40)], "id long, town long")
+    shops = made([(i, i % 3) for i in range(6)], "id long, town long")
+    orders = made([(i, i % 45 if i % 7 else None) for i in range(120)], "id long, person long")
+    items = made([(i, i % 130, i % 6, i % 9) for i in range(500)], "id long, o long, shop long, good long")
+    ends = lambda df, src, dst: df.select("id", F.col(src).alias("src"), F.col(dst).alias("dst"))
+    kinds = (("Town", spark.range(3)), ("Person", people), ("Shop", shops), ("Order", orders), ("Good", spark.range(9)))
+    nodes = [NodeTable(df.withColumn("k", F.col("id")), label) for label, df in kinds]
+    edges = [
+        EdgeTable(ends(people, "id", "town"), "IN", "Person", "Town", own="src"), EdgeTable(ends(shops, "id", "town"), "IN", "Shop", "Town", own="src"),
+        EdgeTable(ends(orders, "person", "id"), "PLACED", "Person", "Order", own="dst"),
+        EdgeTable(ends(items, "o", "shop"), "FROM", "Order", "Shop"), EdgeTable(ends(items, "o", "good"), "OF", "Order", "Good"),
+    ]
+    data = {k: [tuple(r) for r in v.collect()] for k, v in (("people", people), ("shops", shops), ("orders", orders), ("items", items))}
+    return PropertyGraph(nodes, edges, spark), data
+
+
+@pytest.mark.parametrize("trust", [False, True])
+def test_hops_in_the_order_in_which_rows_grow_least(spark, trust, monkeypatch):
+    g, t = tables(spark)
+    s, hops, hop = GraphSession(g, trust=trust), [], Matcher.hop
+    monkeypatch.setattr(Matcher, "hop", lambda self, rows, scope, p, k, *x: hops.append(p.rels[k].types[0]) or hop(self, rows, scope, p, k, *x))
+    got = dict(rows(s.query("MATCH (c:Person)-[:IN]->(n:Town)<-[:IN]-(s:Shop), (c)-[:PLACED]->(o:Order)-[:FROM]->(s) RETURN n.k AS n, count(*) AS k")))
+    town, lives, by = dict(t["shops"]), dict(t["people"]), dict(t["orders"])
+    want = {}
+    for _, o, shop, _ in t["items"]:
+        n = lives.get(by.get(o))
+        if n is not None and n == town[shop]:
+            want[n] = want.get(n, 0) + 1
+    assert got == want and hops == ["PLACED", "IN", "FROM", "IN"]
+
+
+@pytest.mark.parametrize("trust", [False, True])
+def test_rows_are_counted_before_they_are_multiplied(spark, trust):
+    g, t = tables(spark)
+    s = GraphSession(g, trust=trust)
+    per = [sum(n == k for _, n in t["people"]) for k in range(3)]
+    df = s.query("MATCH (a:Person)-[:IN]->(n:Town)<-[:IN]-(b:Person) RETURN count(*) AS k, count(b) AS b, count(DISTINCT b) AS d, min(b.k) AS m")
+    assert rows(df) == [(sum(x * x for x in per), sum(x * x for x in per), sum(per), 1)]
+    assert "@weight" in df._jdf.queryExecution().optimizedPlan().toString()
+    df = s.query("MATCH (a:Person)-[:IN]->(n:Town)<-[:IN]-(b:Person) WHERE a.k <> b.k RETURN n.k AS n, count(*) AS k ORDER BY n")
+    assert rows(df) == [(k, x * x - x) for k, x in enumerate(per)]
+    assert rows(s.query("MATCH (a:Person {k: 99})-[:IN]->(n:Town)<-[:IN]-(b:Person) RETURN count(*) AS k")) == [(0,)]
+    pairs = rows(s.query("MATCH (a:Person)-[:IN]->(n:Town)<-[:IN]-(b:Person) RETURN sum(b.k) AS k"))
+    assert pairs == [(sum(per[n] * i for i, n in t["people"] if n is not None),)]

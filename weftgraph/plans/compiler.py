@@ -80,6 +80,7 @@ class Compiler:
         self.used: Counter = Counter()
         self.keys: list[str] = []
         self.frames: list[DataFrame] = []
+        self.after: dict[int, A.Clause] = {}
 
     @property
     def spark(self):
@@ -110,6 +111,7 @@ class Compiler:
 
     def part(self, clauses: list[A.Clause]) -> DataFrame:
         rows = Rows(None, {})
+        self.after.update({id(c): d for c, d in zip(clauses, clauses[1:])})
         for c in clauses:
             rows = self.clause(c, rows)
         if not clauses or not (isinstance(clauses[-1], A.Projection) and clauses[-1].kind == "RETURN"):
@@ -138,6 +140,10 @@ class Compiler:
             return self.optional(c, rows)
         df, scope = rows.df, rows.scope
         m = self.matcher()
+        if df is None and not scope and not self.used["*"]:
+            whole = m.match_all(c.patterns, self.counted(c))
+            if whole is not None:
+                return self.where(Rows(*whole), c.where)
         # A pattern that shares a variable with what is bound comes before one that doesn't.
         todo = list(c.patterns)
         while todo:
@@ -145,6 +151,31 @@ class Compiler:
             df, scope = m.match(df, scope, todo.pop(k))
         return self.where(Rows(df, scope), c.where)
 
+    def counted(self, c: A.Match) -> dict[str, set | None] | None:
+        """What the next clause needs of the variables, if it only counts rows: properties of each that it names (None: all of them).
+
+        None where the number of equal rows has to stay as it is.
+        """
+        p = self.after.get(id(c))
+        if not isinstance(p, A.Projection) or p.star:
+            return None
+        every = [c.where, p.where, [i.expr for i in p.items], [e for e, _ in p.order]]
+        inside = list(walk(every))
+        calls = [x for x in inside if is_aggregate(x)]
+        if not any(has_aggregate(i.expr) for i in p.items) or any(isinstance(x, A.Exists) for x in inside):
+            return None
+        if not all(x.name in ("count", "min", "max") for x in calls):
+            return None
+        named = variables(every)
+        needs: dict[str, set | None] = {v: set() for v in named}
+        for x in inside:
+            if isinstance(x, A.Prop) and isinstance(x.base, A.Var):
+                needs[x.base.name].add(x.key)
+                named[x.base.name] -= 1
+            elif is_aggregate(x) and x.name == "count" and not x.star and isinstance(x.args[0], A.Var):
+                named[x.args[0].name] -= 1
+        return {v: props if named[v] <= 0 else None for v, props in needs.items()}
+
     def where(self, rows: Rows, e: A.Expr | None) -> Rows:
         for part in conjuncts(e):
             negated = isinstance(part, A.Unary) and part.op == "NOT" and isinstance(part.of, A.Exists)
@@ -354,8 +385,9 @@ class Compiler:
                 scope[name] = over[e] = Value(F.col(f"`{name}`"), kind, v.maybe_null)
                 over.setdefault(A.Var(name), scope[name])
         aggs = []
+        weight = F.col("`@weight`") if "@weight" in rows.df.columns else None
         for y, name in calls.items():
-            v = x.aggregate(y)
+            v = x.aggregate(y, weight)
             aggs.append(v.col.alias(name))
             over[y] = Value(F.col(f"`{name}`"), v.type, v.maybe_null)
         df = rows.df.groupBy(*keys).agg(*aggs) if keys else rows.df.agg(*aggs)

@@ -413,15 +413,17 @@ class Expressions:
             raise SemanticError(f"wrong arguments for {e.name}: {error}") from error
 
     # -- aggregates
-    def aggregate(self, e: A.Call) -> Value:
-        """An aggregate as a column for ``agg``."""
+    def aggregate(self, e: A.Call, weight=None) -> Value:
+        """An aggregate as a column for ``agg``; ``weight``: how many rows each row stands for."""
         if e.star:
-            return Value(F.count(F.lit(1)), LONG, False)
+            return Value(F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0).cast("long")), LONG, False)
         v = self.value(e.args[0])
         c = v.col
         if e.name == "count":
             if is_element(v.type):
                 c = c["_id"]
+            if weight is not None and not e.distinct:
+                return Value(F.coalesce(F.sum(F.when(c.isNotNull(), weight)), F.lit(0).cast("long")), LONG, False)
             return Value(F.count_distinct(c) if e.distinct else F.count(c), LONG, False)
         if e.name == "collect":
             kind = STRING if is_null(v.type) else v.type

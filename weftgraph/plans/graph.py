@@ -43,14 +43,16 @@ class NodeTable(_Table):
 class EdgeTable(_Table):
     """Relationships in columns ``id``, ``src``, ``dst`` and properties; the type is fixed, or (None) in a column ``type``.
 
-    A label of an end may be fixed; None is any.
+    A label of an end may be fixed; None is any. ``own`` names the end (``src`` or
+    ``dst``) whose node table the relationships are made from: each of its nodes has
+    one at most, and each relationship that end.
     """
 
     reserved = ("id", "src", "dst", "type")
 
-    def __init__(self, df, type: str | None, src_label: str | None = None, dst_label: str | None = None, props: list[str] | None = None):
+    def __init__(self, df, type: str | None, src_label: str | None = None, dst_label: str | None = None, props: list[str] | None = None, own: str | None = None):
         super().__init__(df, props)
-        self.type, self.src_label, self.dst_label = type, src_label, dst_label
+        self.type, self.src_label, self.dst_label, self.own = type, src_label, dst_label, own
 
 
 class PropertyGraph:

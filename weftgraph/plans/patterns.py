@@ -28,6 +28,8 @@ class Matcher:
         self.graph, self.expressions, self.used = graph, expressions, used
         self.security, self.trust = security, trust
         self.hidden = 0
+        #: How often patterns name a variable that has no properties there (once where it is not listed).
+        self.quiet: dict[str, int] = {}
 
     def fresh(self, prefix: str) -> str:
         self.hidden += 1
@@ -139,6 +141,163 @@ class Matcher:
         ends = tuple(out.schema[f"{var}.@{s}"].dataType for s in ("src", "dst")) if out is not None else (STRING, STRING)
         return out, RelRef(var, props, id_type, ends)
 
+    # -- all patterns of a first MATCH
+    def match_all(self, patterns: list[A.Pattern], needs: dict[str, set | None] | None) -> tuple[DataFrame, dict] | None:
+        """The matches of patterns that hang together, by hops in the order in which rows grow least.
+
+        A hop whose both ends are bound comes first, then one that finds at most one
+        relationship for each row, then the one of the others that finds the fewest by
+        the tables' sizes; it starts where this leaves the fewest others, as late as can be. Rows that differ only in what neither a later hop
+        nor ``needs`` (variables, and their properties or None for all) asks for are
+        counted in a column ``@weight`` before a hop multiplies them.
+        None where the order written has to stay.
+        """
+        hops = [(i, k) for i, p in enumerate(patterns) for k in range(len(p.rels))]
+        rels = [r.var for p in patterns for r in p.rels if r.var]
+        seen = {n.var for p in patterns for n in p.nodes if n.var}
+        given = [e for p in patterns for x in [*p.nodes, *p.rels] for _, e in x.props]
+        if not hops or any(r.many for p in patterns for r in p.rels) or len(set(rels)) < len(rels) or seen & set(rels):
+            return None
+        if any(isinstance(y, A.Var) for e in given for y in _walk(e)):
+            return None
+        names = [[n.var or self.fresh("n") for n in p.nodes] for p in patterns]
+        rel_names = [[r.var or self.fresh("r") for r in p.rels] for p in patterns]
+        tables: dict[str, list[int]] = {}
+        while True:
+            before = dict(tables)
+            found = []
+            for p, own in zip(patterns, names):
+                scope = {n.var: NodeRef(n.var, {}, STRING, tables[n.var]) for n in p.nodes if n.var in tables}
+                found.append(self.candidates(p, scope))
+                for name, t in zip(own, found[-1][0]):
+                    tables[name] = [x for x in t if x in tables.get(name, t)]
+            if tables == before:
+                break
+        if not all(tables.values()) or not all(e for _, edges in found for e in edges):
+            return None
+        nodes = [[tables[n] for n in own] for own in names]
+        edges = [e for _, e in found]
+
+        def one(i: int, k: int, way: int) -> bool:
+            """The hop finds one relationship at most for each row."""
+            r = patterns[i].rels[k]
+            if r.direction == "both" or len(edges[i][k]) != 1:
+                return False
+            return self.graph.edges[edges[i][k][0]].own == ("src" if (r.direction == "out") == (way == 1) else "dst")
+
+        sizes: dict[tuple, int] = {}
+
+        def fan(i: int, k: int, way: int) -> float:
+            """About how many relationships the hop finds for a row."""
+            near = k if way == 1 else k + 1
+            for kind, own, of in (("n", nodes[i][near], self.graph.nodes), ("e", edges[i][k], self.graph.edges)):
+                for t in own:
+                    if (kind, t) not in sizes:
+                        sizes[kind, t] = int(str(of[t].df.select("id")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            return sum(sizes["e", t] for t in edges[i][k]) / max(1, sum(sizes["n", t] for t in nodes[i][near]))
+
+        def order(start: str):
+            bound, todo, out, grows = {start}, list(hops), [], []
+            while todo:
+                ways = []
+                for i, k in todo:
+                    a, b = names[i][k], names[i][k + 1]
+                    if a in bound or b in bound:
+                        way = 1 if a in bound else -1
+                        ways.append((0 if a in bound and b in bound else 1 if one(i, k, way) else 2, i, k, way))
+                if not ways:
+                    return None
+                rank = min(w[0] for w in ways)
+                ways = [w for w in ways if w[0] == rank]
+                _, i, k, way = min(ways, key=lambda w: fan(*w[1:])) if rank == 2 and len(ways) > 1 else ways[0]
+                todo.remove((i, k))
+                bound |= {names[i][k], names[i][k + 1]}
+                grows.append(rank == 2)
+                out.append((i, k, way))
+            return (sum(grows), -grows.index(True) if any(grows) else 0), out, grows
+
+        every = list(dict.fromkeys(n for own in names for n in own))
+        plans = [(n, order(n)) for n in every]
+        if any(x is None for _, x in plans):
+            return None
+        start, (_, plan, grows) = min(plans, key=lambda x: x[1][0])
+        own_props = {n.var: {key for p in patterns for m in p.nodes if m.var == n.var for key, _ in m.props} for p in patterns for n in p.nodes if n.var}
+        count: dict[str, int] = {}
+        for own in names:
+            for n in own:
+                count[n] = count.get(n, 0) + 1
+        self.quiet = {n: c for n, c in count.items() if not own_props.get(n)}
+        i, k, way = plan[0]
+        at = k if way == 1 else k + 1
+        silent = self.unnamed(start) and len(tables[start]) == 1 and self.graph.nodes[tables[start][0]].label is not None
+        bare: set[str] = set()
+        applied = {(i, at)}
+        if silent and one(i, k, way) and not patterns[i].nodes[at].props:
+            rows, scope, bare = None, {}, {start}  # its own table, as relationships
+        else:
+            rows, ref = self.nodes(patterns[i].nodes[at], start, tables[start], {})
+            scope = {start: ref}
+            rows = self.with_props(rows, scope, patterns[i].nodes[at].props, ref)
+            if silent:
+                rows = rows.hint("shuffle_hash")  # ids alone; the relationships need no sort
+        keys = {start}
+        for step, ((i, k, way), more) in enumerate(zip(plan, grows)):
+            p = patterns[i]
+            near, far = (k, k + 1) if way == 1 else (k + 1, k)
+            if needs is not None and more and step and not any(q.name for q in patterns):
+                later = {n for j, h, _ in plan[step:] for n in names[j][h : h + 2]}
+                live = [n for n in scope if n in later or n in needs]
+                if not keys <= set(live):
+                    rows, scope = self.weighed(rows, scope, live, needs, own_props)
+                    keys = set(live)
+            if (i, near) not in applied and names[i][near] in scope:
+                rows = self.restrict(rows, scope, p.nodes[near], scope[names[i][near]])
+            rows, scope = self.hop(rows, scope, p, k, way, names[i], rel_names[i], near, far, nodes[i], edges[i], bare)
+            if bare:
+                rows, bare = rows.where(scope[start].id().isNotNull()), set()
+            applied |= {(i, near), (i, far)}
+            if more:
+                keys = keys | {rel_names[i][k]}
+        for i, p in enumerate(patterns):
+            for k, n in enumerate(p.nodes):
+                if (i, k) not in applied and names[i][k] in scope:
+                    rows = self.restrict(rows, scope, n, scope[names[i][k]])
+        self.quiet = {}
+        for p in patterns:
+            if p.name:
+                parts = []
+                for k, n in enumerate(p.nodes):
+                    if n.var:
+                        parts.append(scope[n.var])
+                    if k < len(p.rels) and p.rels[k].var:
+                        parts.append(scope[p.rels[k].var])
+                scope[p.name] = PathRef(parts)
+        return rows, scope
+
+    def weighed(self, rows: DataFrame, scope: dict, live: list[str], needs: dict, own_props: dict) -> tuple[DataFrame, dict]:
+        """Rows with the live variables alone, each once, and how many there were of it."""
+        columns, constant, out = [], {}, {}
+        for name in live:
+            ref = scope[name]
+            asked = needs.get(name, set())
+            if isinstance(ref, NodeRef):
+                kept = ref.props if asked is None else {x: t for x, t in ref.props.items() if x in asked | own_props.get(name, set())}
+                ref = NodeRef(name, kept, ref.id_type, ref.tables)
+            out[name] = ref
+            columns += ref.columns()
+            if isinstance(ref, NodeRef) and len(ref.tables) == 1 and (label := self.graph.nodes[ref.tables[0]].label) is not None:
+                columns.remove(f"{name}.@labels")
+                constant[f"{name}.@labels"] = F.array(F.lit(label))
+        weight = F.sum("`@weight`") if "@weight" in rows.columns else F.count(F.lit(1))
+        rows = rows.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(weight.alias("@weight"))
+        for c, value in constant.items():
+            rows = rows.withColumn(c, value)
+        return rows, out
+
+    def unnamed(self, name: str) -> bool:
+        """Nothing but relationships names the node."""
+        return self.used.get(name, 0) <= self.quiet.get(name, 1) and self.security is None
+
     # -- one pattern
     def match(self, rows: DataFrame | None, scope: dict, p: A.Pattern, bare: set[str] | None = None) -> tuple[DataFrame, dict]:
         """``rows`` with the matches of ``p``; without rows, the matches alone.
@@ -235,6 +394,8 @@ class Matcher:
             df = df.unionByName(other, allowMissingColumns=True)
             ref = RelRef(name, {**ref.props, **other_ref.props}, ref.id_type, ref.end_types)
         near_name, far_name = names[near], names[far]
+        ends = {getattr(self.graph.edges[e], f"{b}_label") for a, b, way in (("src", "dst", "out"), ("dst", "src", "in")) if direction in (way, "both")
+                for e in tables if any(self.graph.joins(e, x, a) for x in left) and any(self.graph.joins(e, x, b) for x in right)}
         near_key, far_key = self.fresh("near"), self.fresh("far")
         df = df.withColumnRenamed("@near", near_key).withColumnRenamed("@far", far_key)
         on = None
@@ -262,7 +423,7 @@ class Matcher:
             new_scope = {**new_scope, far_name: NodeRef(far_name, {}, rows.schema[far_key].dataType, node_tables[far])}
             rows = rows.withColumnRenamed(far_key, f"{far_name}.@id").withColumn(f"{far_name}.@labels", F.lit(None).cast(LABELS))
             return rows, new_scope
-        return self.arrive(rows, new_scope, p.nodes[far], far_name, node_tables[far], far_key, [self.graph.edges[e] for e in tables])
+        return self.arrive(rows, new_scope, p.nodes[far], far_name, node_tables[far], far_key, ends)
 
     def near_id(self, ref: NodeRef, native: bool, tables: list[int]) -> Column:
         """The id of a bound node, native or global as the relationship's end is."""
@@ -274,14 +435,16 @@ class Matcher:
             return self.graph.global_id(ref.tables[0], ref.id())
         return ref.id()
 
-    def arrive(self, rows, scope, n: A.NodePattern, name: str, tables: list[int], key: str, edges) -> tuple[DataFrame, dict]:
-        """Join the far node."""
-        lone = self.used.get(name, 0) <= 1 and not n.props and self.security is None
-        implied = len(tables) == 1 and self.graph.nodes[tables[0]].label is not None
+    def arrive(self, rows, scope, n: A.NodePattern, name: str, tables: list[int], key: str, ends: set) -> tuple[DataFrame, dict]:
+        """Join the far node; ``ends``: the labels that the relationships have there."""
+        labels = [self.graph.nodes[t].label for t in tables]
+        lone = self.unnamed(name) and not n.props
+        implied = bool(tables) and None not in labels and (len(tables) == 1 or bool(ends) and ends <= set(labels))
         if self.trust and lone and implied:
             ref = NodeRef(name, {}, rows.schema[key].dataType, tables)
-            rows = rows.withColumnRenamed(key, f"{name}.@id").withColumn(f"{name}.@labels", F.array(F.lit(self.graph.nodes[tables[0]].label)))
-            return rows, {**scope, name: ref}
+            rows = rows.where(F.col(f"`{key}`").isNotNull()).withColumnRenamed(key, f"{name}.@id")
+            label = F.lit(labels[0]) if len(tables) == 1 else F.substring_index(F.col(f"`{name}.@id`"), ":", 1)
+            return rows.withColumn(f"{name}.@labels", F.array(label)), {**scope, name: ref}
         df, ref = self.nodes(n, name, tables, scope)
         scope = {**scope, name: ref}
         early = [x for x in n.props if not any(isinstance(y, A.Var) for y in _walk(x[1]))]
@@ -360,7 +523,7 @@ class Matcher:
             label = g.nodes[far_tables[0]].label
             kind = g.nodes[far_tables[0]].df.schema["id"].dataType
             found = found.where(F.col(f"`{key}`").startswith(f"{label}:")).withColumn(key, F.substring(F.col(f"`{key}`"), len(label) + 2, 1 << 30).cast(kind))
-        return self.arrive(found, scope, p.nodes[far], far_name, far_tables, key, [])
+        return self.arrive(found, scope, p.nodes[far], far_name, far_tables, key, set())
 
 
 def _walk(e):

@@ -39,7 +39,7 @@ def tables_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
         return NodeTable(make, label)
 
-    def edge(kind: str, name: str, src: str, dst: str, a: str, b: str, key: str | None = None, rows=None, items: bool = False) -> EdgeTable:
+    def edge(kind: str, name: str, src: str, dst: str, a: str, b: str, key: str | None = None, rows=None, items: bool = False, own: str | None = None) -> EdgeTable:
         def make():
             df = table(name) if rows is None else rows(table(name))
             if items:  # a line item has no key of its own: all its columns are it
@@ -48,7 +48,7 @@ def tables_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
                 ident = F.col(key or src)
             return df.select(ident.alias("id"), F.col(src).alias("src"), F.col(dst).alias("dst"), *[F.col(x).alias(y) for x, y in (_ITEM if items else {}).items()])
 
-        return EdgeTable(make, kind, a, b, list(_ITEM.values()) if items else [])
+        return EdgeTable(make, kind, a, b, list(_ITEM.values()) if items else [], own)
 
     def chain(events: DataFrame) -> DataFrame:
         by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -75,14 +75,14 @@ def tables_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         node("Turn", "conversations", turn),
     ]
     edges = [
-        edge("IN_REGION", "nation", "n_nationkey", "n_regionkey", "Nation", "Region"),
-        edge("IN_NATION", "customer", "c_custkey", "c_nationkey", "Customer", "Nation"),
-        edge("IN_NATION", "supplier", "s_suppkey", "s_nationkey", "Supplier", "Nation"),
-        edge("PLACED", "orders", "o_custkey", "o_orderkey", "Customer", "Order", "o_orderkey"),
+        edge("IN_REGION", "nation", "n_nationkey", "n_regionkey", "Nation", "Region", own="src"),
+        edge("IN_NATION", "customer", "c_custkey", "c_nationkey", "Customer", "Nation", own="src"),
+        edge("IN_NATION", "supplier", "s_suppkey", "s_nationkey", "Supplier", "Nation", own="src"),
+        edge("PLACED", "orders", "o_custkey", "o_orderkey", "Customer", "Order", "o_orderkey", own="dst"),
         edge("CONTAINS", "lineitem", "l_orderkey", "l_partkey", "Order", "Part", items=True),
         edge("SUPPLIES", "lineitem", "l_suppkey", "l_partkey", "Supplier", "Part", items=True),
         edge("SHIPPED_BY", "lineitem", "l_orderkey", "l_suppkey", "Order", "Supplier", items=True),
-        edge("DID", "events", "user_id", "event_id", "User", "Event", "event_id"),
+        edge("DID", "events", "user_id", "event_id", "User", "Event", "event_id", own="dst"),
         edge("NEXT_EVENT", "events", "event_id", "next", "Event", "Event", rows=chain),
         edge("NEXT", "conversations", "from", "to", "Turn", "Turn", rows=following),
         edge("HAS_LABEL", "labels", "doc_id", "doc_id", "Doc", "Label"),
