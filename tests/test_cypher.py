@@ -265,3 +265,15 @@ def test_rows_are_counted_before_they_are_multiplied(spark, trust):
     assert rows(s.query("MATCH (a:Person {k: 99})-[:IN]->(n:Town)<-[:IN]-(b:Person) RETURN count(*) AS k")) == [(0,)]
     pairs = rows(s.query("MATCH (a:Person)-[:IN]->(n:Town)<-[:IN]-(b:Person) RETURN sum(b.k) AS k"))
     assert pairs == [(sum(per[n] * i for i, n in t["people"] if n is not None),)]
+
+
+def test_far_nodes_of_several_tables_are_not_joined_for_a_count(spark):
+    g, t = tables(spark)
+    known = sum(o < 120 for _, o, _, _ in t["items"])
+    for trust in (False, True):
+        s = GraphSession(g, trust=trust)
+        df = s.query("MATCH (o:Order)-[r:FROM|OF]->(x) RETURN type(r) AS t, count(*) AS n ORDER BY t")
+        assert rows(df) == [("FROM", known), ("OF", known)]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner") == (1 if trust else 2) and "strategy=shuffle_hash" in plan
+        assert rows(s.query("MATCH (o:Order)-[r:FROM|OF]->(x) WHERE x:Good RETURN count(*) AS n")) == [(known,)]
